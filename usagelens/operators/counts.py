@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.functions.scalars import null_label, share
+from usagelens.operators.literals import value_rows
 
 
 def value_counts_long(
@@ -53,8 +54,7 @@ def group_users(df: DataFrame, by: Sequence[str], user: str, n: str = "n_request
 
 def with_watched(counts: DataFrame, value: str, watched: Sequence[str], zeros: Sequence[str]) -> DataFrame:
     """Add rows with zero counts for watched values that did not occur."""
-    spark = counts.sparkSession
-    listed = spark.createDataFrame([(str(w),) for w in watched], f"{value} string")
+    listed = value_rows(counts.sparkSession, [value], [(str(w),) for w in watched])
     absent = listed.join(counts.select(value), value, "left_anti").select(
         value, *[F.lit(0).cast("bigint").alias(z) for z in zeros]
     )
@@ -112,7 +112,7 @@ def owner_rows(df: DataFrame, owner: DataFrame, user: str) -> DataFrame:
 def unseen_values(df: DataFrame, known: dict[str, Sequence[str]]) -> DataFrame:
     """(category, value): values of categorical columns outside the known lists."""
     rows = [(c, v) for c, values in known.items() for v in values]
-    listed = df.sparkSession.createDataFrame(rows, "category string, value string")
+    listed = value_rows(df.sparkSession, ["category", "value"], rows)
     seen = value_counts_long(df, list(known), labelled_nulls=False).select("category", "value")
     return seen.join(F.broadcast(listed), ["category", "value"], "left_anti")
 
