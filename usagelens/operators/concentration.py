@@ -12,13 +12,6 @@ from usagelens.functions.aggregates import sum0
 from usagelens.functions.scalars import percent1, round4
 
 
-def user_totals(df: DataFrame, keys: Sequence[str], user: str, weight: str) -> DataFrame:
-    """(keys.., user, n_requests, n_tokens): the only pass over the full table."""
-    return df.groupBy(*keys, user).agg(
-        F.count("*").alias("n_requests"), sum0(F.col(weight)).alias("n_tokens")
-    )
-
-
 def concentration(
     df: DataFrame,
     dimensions: Sequence[str],
@@ -106,6 +99,11 @@ def reason_text(
     )
 
 
-def flagged_groups(rules: DataFrame) -> DataFrame:
+def flagged_groups(
+    rules: DataFrame,
+    min_group: int = settings.MIN_GROUP_SIZE,
+    dominant: float = settings.DOMINANT_THRESHOLD,
+) -> DataFrame:
     """(dimension, group_value, reason) of the groups that must not show ratios."""
-    return rules.where(flagged()).select("dimension", "group_value", reason_text().alias("reason"))
+    reason = reason_text(min_group, dominant).alias("reason")
+    return rules.where(flagged()).select("dimension", "group_value", reason)

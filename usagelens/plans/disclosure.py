@@ -56,15 +56,17 @@ def suppress(
     declared: Sequence[str] | None,
     rules: DataFrame | None,
     total_row: bool = False,
+    min_group: int = settings.MIN_GROUP_SIZE,
+    dominant: float = settings.DOMINANT_THRESHOLD,
 ) -> tuple[DataFrame, DataFrame]:
     """(data with hidden ratios and a reason column, the groups that were hidden).
 
     Each dimension is judged on its own. A flagged group keeps its counts and loses its ratios.
+    The thresholds are those the rules were made with; they only appear in the reasons.
     """
     spark = data.sparkSession
-    nothing = spark.createDataFrame(
-        [], "dimension string, group_value string, reason string, suppressed_columns string"
-    )
+    columns = ("dimension", "group_value", "reason", "suppressed_columns")
+    nothing = spark.range(0).select(*[F.lit(None).cast("string").alias(c) for c in columns])
     ratios = ratio_columns(data.columns, declared)
     if not group_by:
         return data, nothing
@@ -72,7 +74,7 @@ def suppress(
     reasons: list[Column] = []
     hits: list[Column] = []
     hidden = []
-    flagged = flagged_groups(rules) if rules is not None else None
+    flagged = flagged_groups(rules, min_group, dominant) if rules is not None else None
     for d in group_by:
         if d not in names:
             continue
