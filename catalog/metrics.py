@@ -347,10 +347,10 @@ seg as (select c_mktsegment, n_name, c_custkey, count(*) n, cast(sum(cast(floor(
 with {SEGMENTS}, per as (select n_name, c_custkey, sum(n) n from seg group by 1, 2),
 g as (select n_name, count(*) n_users, cast(sum(n) as bigint) n_requests, cast(max(n) as double) / sum(n) top from per group by 1)
 select n_name degree, n_users, n_requests,
-  case when not (n_users < 40 or top > 0.05) then {part('n_requests', 'sum(n_requests) over ()')} end request_share,
-  coalesce('degree: ' || nullif(concat_ws(', ', case when n_users < 40 then 'n_users ' || n_users || ' < 40' end,
-    case when top > 0.05 then 'top user ' || cast(cast(floor(floor(top * 10000 + 0.5) / 10000 * 1000 + 0.5) as bigint) // 10 as varchar) || '.'
-      || cast(cast(floor(floor(top * 10000 + 0.5) / 10000 * 1000 + 0.5) as bigint) % 10 as varchar) || '% > 5%' end), ''), '') suppression_reason
+  case when not (n_users < 50 or top > 0.04) then {part('n_requests', 'sum(n_requests) over ()')} end request_share,
+  coalesce('degree: ' || nullif(concat_ws(', ', case when n_users < 50 then 'n_users ' || n_users || ' < 50' end,
+    case when top > 0.04 then 'top user ' || cast(cast(floor(floor(top * 10000 + 0.5) / 10000 * 1000 + 0.5) as bigint) // 10 as varchar) || '.'
+      || cast(cast(floor(floor(top * 10000 + 0.5) / 10000 * 1000 + 0.5) as bigint) % 10 as varchar) || '% > 4%' end), ''), '') suppression_reason
 from g""")
 def suppress_orders(spark, sf):
     """Suppression on other data: customers as users, nations as groups, with other thresholds."""
@@ -369,21 +369,21 @@ def _order_suppression(spark, sf):
         .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .select("c_custkey", F.col("n_name").alias("degree"))
     )
-    rules = concentration(orders, ["degree"], "c_custkey", min_group=40, dominant=0.05)
+    rules = concentration(orders, ["degree"], "c_custkey", min_group=50, dominant=0.04)
     report = with_share(
         rules.select(F.col("group_value").alias("degree"), "n_users", "n_requests"), "n_requests", "request_share"
     )
-    return suppress(report, ["degree"], None, rules, min_group=40, dominant=0.05)
+    return suppress(report, ["degree"], None, rules, min_group=50, dominant=0.04)
 
 
 @query("n08_suppressed_groups", f"""
 with {SEGMENTS}, per as (select n_name, c_custkey, sum(n) n from seg group by 1, 2),
 g as (select n_name, count(*) n_users, cast(sum(n) as bigint) n_requests, cast(max(n) as double) / sum(n) top from per group by 1)
 select 'degree' dimension, n_name group_value, 'request_share' suppressed_columns,
-  concat_ws(', ', case when n_users < 40 then 'n_users ' || n_users || ' < 40' end,
-    case when top > 0.05 then 'top user ' || cast(cast(floor(floor(top * 10000 + 0.5) / 10000 * 1000 + 0.5) as bigint) // 10 as varchar) || '.'
-      || cast(cast(floor(floor(top * 10000 + 0.5) / 10000 * 1000 + 0.5) as bigint) % 10 as varchar) || '% > 5%' end) reason
-from g where n_users < 40 or top > 0.05""")
+  concat_ws(', ', case when n_users < 50 then 'n_users ' || n_users || ' < 50' end,
+    case when top > 0.04 then 'top user ' || cast(cast(floor(floor(top * 10000 + 0.5) / 10000 * 1000 + 0.5) as bigint) // 10 as varchar) || '.'
+      || cast(cast(floor(floor(top * 10000 + 0.5) / 10000 * 1000 + 0.5) as bigint) % 10 as varchar) || '% > 4%' end) reason
+from g where n_users < 50 or top > 0.04""")
 def suppressed_orders(spark, sf):
     _, listed = _order_suppression(spark, sf)
     return listed

@@ -190,15 +190,24 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*columns)
 
 
-def level_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """request, turn, thread, user and, for suppression, the registry and the rules."""
-    request = requests(spark, sf_dir)
-    registry = build_registry(request)
-    return {
-        "request": request,
-        "turn": build_turn(request),
-        "thread": build_thread(request),
-        "user": build_user(request, registry),
-        "registry": registry,
-        "rules": build_concentration(request, registry),
-    }
+class LevelTables(dict):
+    """request, turn, thread, user, registry and rules, each built when it is first asked for."""
+
+    def __init__(self, request: DataFrame):
+        super().__init__(request=request)
+
+    def __missing__(self, name: str) -> DataFrame:
+        request = self["request"]
+        build = {
+            "turn": lambda: build_turn(request),
+            "thread": lambda: build_thread(request),
+            "registry": lambda: build_registry(request),
+            "user": lambda: build_user(request, self["registry"]),
+            "rules": lambda: build_concentration(request, self["registry"]),
+        }
+        self[name] = build[name]()
+        return self[name]
+
+
+def level_tables(spark: SparkSession, sf_dir: str) -> LevelTables:
+    return LevelTables(requests(spark, sf_dir))
