@@ -9,6 +9,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
+from usagelens import settings
+
 _TYPES = {
     "string": T.StringType(),
     "long": T.LongType(),
@@ -151,6 +153,13 @@ REQUEST_FIELDS: tuple[Field, ...] = (
     Field("ingested_at", "instant", required=True),
 )
 
+# Named checks as predicates on a column; any other check of a field is a predicate already.
+PREDICATES = {
+    "non_negative": ">= 0",
+    "not_blank": "<> ''",
+    "client_type": "in ({})".format(", ".join(f"'{c}'" for c in settings.KNOWN_CLIENT_TYPES)),
+}
+
 BLANK_AS_NULL = tuple(f.name for f in REQUEST_FIELDS if f.check == "not_blank")
 
 REQUEST_SCHEMA = T.StructType([T.StructField(f.name, f.spark_type) for f in REQUEST_FIELDS])
