@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens import settings
@@ -35,7 +35,7 @@ def _stage(spark: SparkSession, places: Places, pending: DataFrame, at: datetime
         pending.select("source_path"), "source_path", "left_semi"
     )
     folder = scratch_dir(spark, "ingest")
-    keep = ("file_mtime", "file_size", "error_type", "error_message")
+    keep = ("file_mtime", "file_size", "_error")
     flatten(R.with_error(records), F.lit(at), tz=tz, keep=keep).write.parquet(folder)
     return folder, spark.read.parquet(folder)
 
@@ -63,13 +63,12 @@ def ingest(
         return _report(spark, scanned=n_files, skipped=n_files)
 
     folder, staged = _stage(spark, places, pending, at, tz)
-    good = staged.where(F.col("error_type").isNull())
-    bad = staged.where(F.col("error_type").isNotNull())
+    good = staged.where(F.col("_error").isNull())
     outcome = staged.agg(
-        F.count_if(F.col("error_type").isNull()).alias("processed"),
-        F.count_if(F.col("error_type").isNotNull()).alias("failed"),
+        F.count_if(F.col("_error").isNull()).alias("processed"),
+        F.count_if(F.col("_error").isNotNull()).alias("failed"),
     ).first()
-    T.write_run(bad.select("source_path", "error_type", "error_message"), places.quarantine, run_id)
+    T.write_run(R.quarantined(staged), places.quarantine, run_id)
 
     entries = M.manifest_entries(good)
     again = entries.join(manifest.select("source_path"), "source_path", "left_semi")
@@ -80,31 +79,33 @@ def ingest(
     if exists(spark, places.requests):
         stored = spark.read.schema(REQUEST_SCHEMA).parquet(places.requests).select("request_id")
         rows = dedupe_against(rows, stored, "request_id", "source_path")
-    seen = Observation()
-    written = rows.observe(
-        seen,
+    ready = scratch_dir(spark, "ready")
+    rows.write.parquet(ready)
+    rows = spark.read.schema(REQUEST_SCHEMA).parquet(ready)
+    facts = rows.agg(
         F.count("*").alias("rows"),
+        F.count_distinct(F.coalesce("date_local", F.lit(""))).alias("partitions"),
         F.min("ts_local").cast("string").alias("ts_min"),
         F.max("ts_local").cast("string").alias("ts_max"),
-    )
-    T.write_requests(written, places.requests)
-    n_dates = good.select("date_local").distinct().count()
+    ).first()
+    if facts.rows:
+        T.write_requests(rows, places.requests)
     M.write_manifest(M.upsert_manifest(manifest, entries), places.manifest)
-    delete(spark, folder)
-    facts = seen.get
+    for scratch in (folder, ready):
+        delete(spark, scratch)
     return _report(
         spark,
         scanned=n_files,
         processed=outcome.processed,
         skipped=n_files - n_pending,
         failed=outcome.failed,
-        rows=facts["rows"],
-        partitions=n_dates,
+        rows=facts.rows,
+        partitions=facts.partitions,
         reprocessed=n_again,
         replaced_rows=replaced,
-        duplicates=outcome.processed - facts["rows"],
-        ts_min=facts["ts_min"],
-        ts_max=facts["ts_max"],
+        duplicates=outcome.processed - facts.rows,
+        ts_min=facts.ts_min,
+        ts_max=facts.ts_max,
     )
 
 
@@ -120,10 +121,10 @@ def _report(spark: SparkSession, **facts) -> DataFrame:
 
 
 def ingest_summary(staged: DataFrame, kept: DataFrame) -> DataFrame:
-    """The report of a batch held in tables: staged records with error_type, and the rows kept."""
+    """The report of a batch held in tables: staged records with ``_error``, and the rows kept."""
     read = staged.agg(
-        F.count_if(F.col("error_type").isNull()).alias("processed"),
-        F.count_if(F.col("error_type").isNotNull()).alias("failed"),
+        F.count_if(F.col("_error").isNull()).alias("processed"),
+        F.count_if(F.col("_error").isNotNull()).alias("failed"),
     )
     out = kept.agg(
         F.count("*").alias("rows"),

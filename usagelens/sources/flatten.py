@@ -24,13 +24,29 @@ _READERS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def read_field(field: Field, v: str) -> Column:
-    """The column of a field that has a place in the record."""
-    if field.read == "error_text":
-        return V.error_text(v, *field.sources)
-    if field.read == "text" and len(field.sources) == 1:
-        return V.json_get(v, field.sources[0])
-    return _READERS[field.read](V.json_first(v, *field.sources))
+def _read(df: DataFrame, v: str, fields: Sequence[Field], keep: Sequence[str]) -> DataFrame:
+    """Read every field that has a place in the record.
+
+    Fields with the same reader are read as one array: written out per column, the generated code
+    would outgrow what the JVM compiles.
+    """
+    groups: dict[str, list[Field]] = {}
+    for f in fields:
+        if f.sources:
+            groups.setdefault(f.read, []).append(f)
+    errors = {f.name: V.error_text(v, *f.sources) for f in groups.pop("error_text", [])}
+    arrays = [
+        F.transform(F.array(*[V.json_first(v, *f.sources) for f in group]), _READERS[read]).alias(
+            f"_{read}"
+        )
+        for read, group in groups.items()
+    ]
+    usage = V.usage_missing(v).alias("usage_missing")
+    rows = df.select("source_path", *keep, usage, *[c.alias(n) for n, c in errors.items()], *arrays)
+    columns = [
+        F.col(f"_{read}")[i].alias(f.name) for read, group in groups.items() for i, f in enumerate(group)
+    ]
+    return rows.select("source_path", *keep, "usage_missing", *errors, *columns)
 
 
 def flatten(
@@ -46,12 +62,9 @@ def flatten(
 
     Blank ids become null before the client type is derived from the thread id.
     """
-    read = {f.name: read_field(f, v) for f in fields if f.sources}
-    read.update({name: scalars.blank_to_null(read[name]) for name in BLANK_AS_NULL if name in read})
-    base = df.select(
-        "source_path", *keep, V.usage_missing(v).alias("usage_missing"),
-        *[c.alias(name) for name, c in read.items()],
-    )
+    base = _read(df, v, fields, keep)
+    ids = [c for c in BLANK_AS_NULL if c in base.columns]
+    base = base.withColumns({c: scalars.blank_to_null(F.col(c)) for c in ids})
     derived = {
         **times.local_calendar(F.col("ts_utc"), tz),
         "ts_created_local": times.wall_clock(F.col("ts_created_utc"), tz),

@@ -64,25 +64,33 @@ def read_raw(
 
 
 def with_error(raw: DataFrame) -> DataFrame:
-    """Add error_type and error_message, both null for a record that is a JSON object."""
+    """Add ``_error`` struct(error_type, error_message), null for a record that is a JSON object."""
     # The text parsed, so its first character tells an object from anything else.
     is_object = F.col("text").rlike(r"^\s*\{")
-    error = F.when(F.col("v").isNull(), F.lit("invalid JSON")).when(
-        ~is_object, F.lit("not an object")
-    )
     size = F.length("text").cast("string")
-    message = F.when(
-        F.col("v").isNull(), F.concat(F.lit("not a JSON document, "), size, F.lit(" characters"))
-    ).when(~is_object, F.lit("the top level of the document is not an object"))
-    return raw.withColumn("error_type", error).withColumn("error_message", message)
+
+    def error(kind: str, message: Column) -> Column:
+        return F.struct(F.lit(kind).alias("error_type"), message.alias("error_message"))
+
+    unreadable = F.concat(F.lit("not a JSON document, "), size, F.lit(" characters"))
+    other = F.lit("the top level of the document is not an object")
+    return raw.withColumn(
+        "_error",
+        F.when(F.col("v").isNull(), error("invalid JSON", unreadable)).when(
+            ~is_object, error("not an object", other)
+        ),
+    )
 
 
 def split_bad(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, unreadable files): one bad file never stops the others."""
     checked = with_error(raw)
-    good = checked.where(F.col("error_type").isNull()).drop("error_type", "error_message")
-    bad = checked.where(F.col("error_type").isNotNull())
-    return good, bad.select("source_path", "error_type", "error_message")
+    good = checked.where(F.col("_error").isNull()).drop("_error")
+    return good, quarantined(checked)
+
+
+def quarantined(checked: DataFrame) -> DataFrame:
+    return checked.where(F.col("_error").isNotNull()).select("source_path", "_error.*")
 
 
 def hash_sample(df: DataFrame, key: str, rate: float) -> DataFrame:
