@@ -96,15 +96,19 @@ def read_levels(spark: SparkSession, requests_dir: str, folder: str) -> dict[str
     return {"request": read_requests(spark, requests_dir), **tables}
 
 
+# CSV keeps milliseconds unless told otherwise.
+_CSV = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def write_registry(registry: DataFrame, folder: str) -> None:
-    registry.write.mode("overwrite").csv(folder, header=True)
+    registry.write.mode("overwrite").options(**_CSV).csv(folder)
 
 
 def read_registry(spark: SparkSession, folder: str) -> DataFrame:
     """The registry with its codes as text: 08 must not become 8."""
     if not exists(spark, folder):
         raise FileNotFoundError(f"there is no registry at {folder}: validate first")
-    return spark.read.schema(REGISTRY_SCHEMA).csv(folder, header=True)
+    return spark.read.schema(REGISTRY_SCHEMA).options(**_CSV).csv(folder)
 
 
 def write_run(df: DataFrame, folder: str, run_id: str) -> None:
