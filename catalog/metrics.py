@@ -249,35 +249,31 @@ def first_of(c: str, where: str) -> str:
 
 
 def facts_sql() -> str:
-    """The numbers behind each listed anomaly, one long row per slice."""
+    """The numbers behind each listed anomaly, one row per slice."""
     me = [f"username = (select owner from own where ord = {i})" for i in (1, 2, 3)]
     mine = [f"{m} and {w}" for m, (_, w) in zip(me, SLICES)]
-    null = "null"
+    whole = me
     cells = {
-        "window_minutes": (f"(select cast(epoch_us(max(ts_utc)) - epoch_us(min(ts_utc)) as double) / 60e6 from req where {mine[0]})", null, null),
-        "top_prompt_len": (first_of("prompt_len", mine[0]), null, null),
-        "n_top_prompt_len": (f"(select max(n) from (select count(*) n from req where {mine[0]} group by prompt_len))", null, null),
-        "top_client_type": (first_of("client_type", mine[0]), null, null),
-        "owner_requests": (f"(select count(*) from req where {me[0]})", null, f"(select count(*) from req where {me[2]})"),
-        "owner_error_share": (f"(select cast(count(*) filter (where status_code >= 400) as double) / count(*) from req where {me[0]})", null, null),
-        "n_user_agents": (f"(select count(distinct user_agent) from req where {me[0]})", null, null),
-        "top_endpoint": (first_of("endpoint", me[0]), null, null),
-        "top_model_family": (first_of("model_family", me[0]), null, null),
-        "chat_share": (null, f"(select cast(count(*) filter (where endpoint = '/v1/chat/completions') as double) / count(*) from req where {mine[1]})", null),
-        "top_agent_share": (null, f"(select cast(max(n) as double) / sum(n) from (select count(*) n from req where {mine[1]} group by user_agent))", null),
-        "owner_slice_share": (null, null, f"(select cast(count(*) filter (where hour_local < 8) as double) / count(*) from req where {me[2]})"),
-        "n_active_days": (null, null, f"(select count(distinct date_local) from req where {me[2]})"),
-        "account_type": (null, null, "(select account_type from reg where username = (select owner from own where ord = 3))"),
-        "n_direct": (null, null, "(select count(*) from req where client_type = 'direct')"),
+        "window_minutes": ("double", lambda i: f"(select cast(epoch_us(max(ts_utc)) - epoch_us(min(ts_utc)) as double) / 60e6 from req where {mine[i]})"),
+        "top_prompt_len": ("bigint", lambda i: first_of("prompt_len", mine[i])),
+        "n_top_prompt_len": ("bigint", lambda i: f"(select max(n) from (select count(*) n from req where {mine[i]} group by prompt_len))"),
+        "top_client_type": ("varchar", lambda i: first_of("client_type", mine[i])),
+        "owner_requests": ("bigint", lambda i: f"(select count(*) from req where {whole[i]})"),
+        "owner_error_share": ("double", lambda i: f"(select cast(count(*) filter (where status_code >= 400) as double) / count(*) from req where {whole[i]})"),
+        "n_user_agents": ("bigint", lambda i: f"(select count(distinct user_agent) from req where {whole[i]})"),
+        "top_endpoint": ("varchar", lambda i: first_of("endpoint", whole[i])),
+        "top_model_family": ("varchar", lambda i: first_of("model_family", whole[i])),
+        "chat_share": ("double", lambda i: f"(select cast(count(*) filter (where endpoint = '/v1/chat/completions') as double) / count(*) from req where {mine[i]})"),
+        "top_agent_share": ("double", lambda i: f"(select cast(max(n) as double) / sum(n) from (select count(*) n from req where {mine[i]} group by user_agent))"),
+        "owner_offpeak_share": ("double", lambda i: f"(select cast(count(*) filter (where hour_local < 8) as double) / count(*) from req where {whole[i]})"),
+        "n_active_days": ("bigint", lambda i: f"(select count(distinct date_local) from req where {whole[i]})"),
+        "account_type": ("varchar", lambda i: f"(select account_type from reg where username = (select owner from own where ord = {i + 1}))"),
+        "n_direct": ("bigint", lambda i: "(select count(*) from req where client_type = 'direct')"),
     }
-    text = {"top_client_type", "top_endpoint", "top_model_family", "account_type"}
-    double = {"window_minutes", "owner_error_share", "chat_share", "top_agent_share", "owner_slice_share"}
     rows = []
     for i in (1, 2, 3):
         source = mine[i - 1] if i < 3 else me[2]
-        columns = ", ".join(
-            f"cast({c[i - 1]} as {'varchar' if k in text else 'double' if k in double else 'bigint'}) {k}" for k, c in cells.items()
-        )
+        columns = ", ".join(f"cast({cell(i - 1)} as {kind}) {k}" for k, (kind, cell) in cells.items())
         rows.append(f"select o.anomaly, cast(1 as bigint) n_users, o.n_requests, slice_requests, slice_users, {part('o.n_requests', '(select count(*) from req)')} share, "
                     f"(select count(*) from req) n_total, (select min(e.ord) from own e where e.owner = o.owner and e.ord < o.ord) same_owner_as, "
                     f"g.median_gap, g.tight_share, {columns} from own o, ({gap_facts(source)}) g where o.ord = {i}")

@@ -6,6 +6,8 @@ the library on the Spark side, by hand in SQL on the oracle side.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,21 +175,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived requests with their helper columns (event_id, uid, k)."""
+@lru_cache(maxsize=8)
+def _request_rows(spark: SparkSession, application: str, sf_dir: str) -> DataFrame:
     rows = spark.sql(REQUEST_VIEW, events=table(spark, sf_dir, "events"))
     return rows.withColumn("ts_utc", F.col("ts_utc").cast("timestamp"))
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived requests in the 89 columns of the contract; columns without a source are null."""
+def request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived requests with their helper columns (event_id, uid, k). Only the plan is kept."""
+    return _request_rows(spark, spark.sparkContext.applicationId, sf_dir)
+
+
+@lru_cache(maxsize=8)
+def _requests(spark: SparkSession, application: str, sf_dir: str) -> DataFrame:
     rows = request_rows(spark, sf_dir)
-    weekday = F.weekday("ts_local").cast("bigint")
+    present = set(rows.columns)
     columns = []
     for f in REQUEST_FIELDS:
-        c = weekday if f.name == "weekday_local" else F.lit(None)
-        columns.append((F.col(f.name) if f.name in rows.columns else c).cast(f.spark_type).alias(f.name))
-    return rows.select(*columns)
+        text = "cast(weekday(ts_local) as bigint)" if f.name == "weekday_local" else f.name
+        text = text if f.name in present | {"weekday_local"} else f"cast(null as {f.spark_type.simpleString()})"
+        columns.append(f"{text} as {f.name}")
+    return rows.selectExpr(*columns)
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived requests in the 89 columns of the contract; columns without a source are null."""
+    return _requests(spark, spark.sparkContext.applicationId, sf_dir)
 
 
 class LevelTables(dict):

@@ -8,6 +8,7 @@ processed, just not split, so results never depend on the list.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,19 @@ from pyspark.sql import types as T
 from usagelens import settings
 
 PIECE = "_piece"
+# Files hold more rows than their size suggests to the optimizer; this is a generous allowance.
+_COMPRESSION = 50
+
+
+def surely_light(df: DataFrame, min_rows: int) -> bool:
+    """True when the optimizer's size estimate rules out a key with ``min_rows`` rows.
+
+    Saves the counting job on small tables. Estimates of joins are far too high rather than too low.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    width = df._jdf.schema().defaultSize() + 8
+    return size / width * _COMPRESSION < min_rows
 
 
 def heavy_keys(
@@ -24,17 +38,32 @@ def heavy_keys(
     min_rows: int = settings.HEAVY_ROWS,
     limit: int = settings.HEAVY_KEYS,
 ) -> DataFrame | None:
-    """The heaviest keys with at least ``min_rows`` rows as a small local table, or None.
+    """(keys.., _n): the heaviest keys with at least ``min_rows`` rows as a local table, or None.
 
-    Runs one job over the key columns only.
+    Runs one job over the key columns, unless the table is too small to hold such a key.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows)
+    narrow = df.select(*keys)
+    if surely_light(narrow, min_rows):
+        return None
+    counts = narrow.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows)
     rows = counts.orderBy(F.desc("_n"), *keys).limit(limit).collect()
     if not rows:
         return None
     return df.sparkSession.createDataFrame(rows, counts.schema)
 
 
+def same_keys(left: Sequence[Column], right: Sequence[Column]) -> Column:
+    """Join condition on key columns in which null equals null."""
+    return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in zip(left, right)])
+
+
+def rows_of(df: DataFrame, by: Sequence[str], keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose ``by`` columns are (left_semi) or are not (left_anti) in a small key table."""
+    renamed = keys.select(*[F.col(b).alias(f"_k_{b}") for b in by])
+    match = same_keys([F.col(b) for b in by], [F.col(f"_k_{b}") for b in by])
+    return df.join(F.broadcast(renamed), match, how)
+
+
 def _number(df: DataFrame, order: str) -> Column:
     """The order column as a number, instants as microseconds."""
     if isinstance(df.schema[order].dataType, T.TimestampType):
@@ -49,7 +78,7 @@ def _cuts(df: DataFrame, key: str, order: Column, heavy: DataFrame, splits: int)
     """
     marks = [i / splits for i in range(1, splits)]
     cuts = (
-        rows_of(df, [key], heavy, "left_semi")
+        rows_of(df, [key], heavy)
         .groupBy(key)
         .agg(F.percentile_approx(order, marks, 20 * splits).alias("_cuts"))
     )
@@ -77,12 +106,3 @@ def with_piece(
     below = F.size(F.filter("_cuts", lambda c: c < number))
     piece = F.when(F.col("_cuts").isNull(), 0).otherwise(below)
     return df.join(F.broadcast(cuts), key, "left").withColumn(PIECE, piece).drop("_cuts"), True
-
-
-def rows_of(df: DataFrame, by: Sequence[str], keys: DataFrame, how: str) -> DataFrame:
-    """Rows whose ``by`` columns are (left_semi) or are not (left_anti) in a small key table."""
-    renamed = keys.select(*[F.col(b).alias(f"_k_{b}") for b in by])
-    match: Column = F.lit(True)
-    for b in by:
-        match = match & F.col(b).eqNullSafe(F.col(f"_k_{b}"))
-    return df.join(F.broadcast(renamed), match, how)

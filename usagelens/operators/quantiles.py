@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from usagelens import settings
 from usagelens.functions.scalars import round4
-from usagelens.operators.heavy import heavy_keys, rows_of
+from usagelens.operators.heavy import heavy_keys, rows_of, same_keys
 
 _ACCURACY = 10_000
+_MARGIN = 3 / _ACCURACY
 _GROUP = "_group"
 
 
@@ -25,97 +26,104 @@ def label(q: float) -> str:
     return f"p{round(q * 100)}"
 
 
-def exact_quantiles(
-    df: DataFrame,
-    by: Sequence[str],
+def _with_quantiles(
+    rows: DataFrame,
+    keys: list[str],
     value: str,
-    qs: Sequence[float] = settings.QUANTILES,
-    min_rows: int = settings.HEAVY_ROWS,
+    qs: Sequence[float],
+    extra: Sequence[Column],
+    min_rows: int,
 ) -> DataFrame:
-    """(by.., p10, p25, ..): quantiles of the non-null values; null keys form a group."""
-    keys = list(by) or [_GROUP]
-    values = df if by else df.withColumn(_GROUP, F.lit("all"))
-    values = values.select(*keys, F.col(value).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull()
-    )
-    heavy = heavy_keys(values, keys, min_rows)
-    light = values if heavy is None else rows_of(values, keys, heavy, "left_anti")
-    wanted = F.percentile("_v", [float(q) for q in qs])
-    result = (
-        light.groupBy(*keys)
-        .agg(wanted.alias("_q"))
-        .select(*keys, *[F.col("_q")[i].alias(label(q)) for i, q in enumerate(qs)])
+    """(keys.., extra.., _q): one aggregate for everything, heavy groups filled in from brackets."""
+    v = F.col(value).cast("double")
+    wanted = [float(q) for q in qs]
+    heavy = heavy_keys(rows.where(F.col(value).isNotNull()), keys, min_rows)
+    if heavy is None:
+        return rows.groupBy(*keys).agg(*extra, F.percentile(v, wanted).alias("_q"))
+    names = [f"_h_{k}" for k in keys]
+    listed = heavy.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_n"))
+    match = same_keys([F.col(k) for k in keys], [F.col(n) for n in names])
+    light = F.percentile(F.when(F.col("_n").isNull(), v), wanted).alias("_light")
+    marked = rows.join(F.broadcast(listed), match, "left")
+    table = marked.groupBy(*keys).agg(*extra, light)
+    found = _bracketed(rows.select(*keys, v.alias("_v")), keys, heavy, qs)
+    return table.join(F.broadcast(found), match, "left").select(
+        *keys, *table.columns[len(keys) : -1], F.coalesce("_heavy", "_light").alias("_q")
     )
-    if heavy is not None:
-        result = result.unionByName(_bracketed(values, keys, heavy, qs))
-    return result if by else result.drop(_GROUP)
 
 
 def _bracketed(
     values: DataFrame, keys: list[str], heavy: DataFrame, qs: Sequence[float]
 ) -> DataFrame:
-    margin = 3 / _ACCURACY
-    marks = [min(max(q + d, 0.0), 1.0) for q in qs for d in (-margin, margin)]
+    """(_h_ keys.., _heavy): the quantiles of at most HEAVY_KEYS groups."""
+    values = values.where(F.col("_v").isNotNull())
+    marks = [min(max(q + d, 0.0), 1.0) for q in qs for d in (-_MARGIN, _MARGIN)]
     sketches = (
-        rows_of(values, keys, heavy, "left_semi")
+        rows_of(values, keys, heavy)
         .groupBy(*keys)
-        .agg(F.percentile_approx("_v", marks, _ACCURACY).alias("_marks"))
+        .agg(
+            F.count("*").alias("_n"), F.percentile_approx("_v", marks, _ACCURACY).alias("_marks")
+        )
     )
-    # At most HEAVY_KEYS rows, collected so that both uses below see the same brackets.
+    # Collected, so that every use sees the same brackets: one short row per heavy group.
     sketches = values.sparkSession.createDataFrame(sketches.collect(), sketches.schema)
-    names = [f"_k{i}" for i in range(len(keys))]
-    brackets = sketches.join(heavy, _same(keys, sketches, heavy)).select(
-        *[sketches[k].alias(n) for k, n in zip(keys, names)],
-        heavy["_n"],
+    names = [f"_h_{k}" for k in keys]
+    brackets = sketches.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)],
+        "_n",
         F.posexplode(F.array(*[_bracket(i, q) for i, q in enumerate(qs)])).alias("_i", "_b"),
     )
-    match: Column = F.lit(True)
-    for k, n in zip(keys, names):
-        match = match & F.col(k).eqNullSafe(F.col(n))
+    above = F.col("_b.lo").isNull() | (F.col("_v") >= F.col("_b.lo"))
     kept = (
-        values.join(F.broadcast(brackets), match)
+        values.join(
+            F.broadcast(brackets), same_keys([F.col(k) for k in keys], [F.col(n) for n in names])
+        )
         .where(F.col("_b.hi").isNull() | (F.col("_v") <= F.col("_b.hi")))
-        .withColumn("_v", F.when(F.col("_b.lo").isNull() | (F.col("_v") >= F.col("_b.lo")), F.col("_v")))
-        .groupBy(*names, "_n", "_i", F.col("_b.q").alias("_q"), "_v")
+        .groupBy(*names, "_n", "_i", F.col("_b.q").alias("_p"), F.when(above, F.col("_v")).alias("_v"))
         .agg(F.count("*").alias("_c"))
     )
     running = Window.partitionBy(*names, "_i").orderBy(F.col("_v").asc_nulls_first())
-    rank = F.col("_q") * (F.col("_n") - 1)
-    ranked = kept.withColumn(
-        "_end", F.sum("_c").over(running.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("_start", F.col("_end") - F.col("_c"))
+    ranked = kept.withColumn("_end", F.sum("_c").over(running)).withColumn(
+        "_start", F.col("_end") - F.col("_c")
+    )
+    rank = F.col("_p") * (F.col("_n") - 1)
 
     def at(position: Column) -> Column:
         hit = (F.col("_start") <= position) & (position < F.col("_end"))
         return F.max(F.when(hit, F.col("_v")))
 
-    ends = ranked.groupBy(*names, "_i", "_n", "_q").agg(
+    ends = ranked.groupBy(*names, "_i", "_n", "_p").agg(
         at(F.floor(rank)).alias("_low"), at(F.ceil(rank)).alias("_high")
     )
     found = F.when(F.floor(rank) == F.ceil(rank), F.col("_low")).otherwise(
         (F.ceil(rank) - rank) * F.col("_low") + (rank - F.floor(rank)) * F.col("_high")
     )
     checked = F.coalesce(found, F.raise_error(F.lit("a quantile lies outside its bracket")))
-    return (
-        ends.groupBy(*names)
-        .agg(*[F.max(F.when(F.col("_i") == i, checked)).alias(label(q)) for i, q in enumerate(qs)])
-        .withColumnsRenamed(dict(zip(names, keys)))
-    )
+    by_place = [F.max(F.when(F.col("_i") == i, checked)) for i in range(len(qs))]
+    return ends.groupBy(*names).agg(F.array(*by_place).alias("_heavy"))
 
 
 def _bracket(i: int, q: float) -> Column:
     """struct(q, lo, hi); a bracket that reaches an end of the range is open there."""
-    margin = 3 / _ACCURACY
-    lo = F.col("_marks")[2 * i] if q > margin else F.lit(None).cast("double")
-    hi = F.col("_marks")[2 * i + 1] if q < 1 - margin else F.lit(None).cast("double")
+    none = F.lit(None).cast("double")
+    lo = F.col("_marks")[2 * i] if q > _MARGIN else none
+    hi = F.col("_marks")[2 * i + 1] if q < 1 - _MARGIN else none
     return F.struct(F.lit(float(q)).alias("q"), lo.alias("lo"), hi.alias("hi"))
 
 
-def _same(keys: list[str], left: DataFrame, right: DataFrame) -> Column:
-    match: Column = F.lit(True)
-    for k in keys:
-        match = match & left[k].eqNullSafe(right[k])
-    return match
+def exact_quantiles(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    qs: Sequence[float] = settings.QUANTILES,
+    min_rows: int = settings.HEAVY_ROWS,
+) -> DataFrame:
+    """(by.., p10, p25, ..): quantiles of the non-null values; null keys form a group."""
+    keys = list(by) or [_GROUP]
+    rows = df if by else df.withColumn(_GROUP, F.lit("all"))
+    table = _with_quantiles(rows.select(*keys, value), keys, value, qs, [], min_rows)
+    cells = [F.col("_q")[i].alias(label(q)) for i, q in enumerate(qs)]
+    return table.select(*by, *cells)
 
 
 def quantile_table(
@@ -133,19 +141,8 @@ def quantile_table(
     """
     keys = list(by) or [_GROUP]
     rows = df if by else df.withColumn(_GROUP, F.lit("all"))
-    counts = rows.groupBy(*keys).agg(
-        F.count(value).alias("n"), *extra, round4(F.max(F.col(value).cast("double"))).alias("max")
-    )
-    quantiles = exact_quantiles(rows, keys, value, qs, min_rows)
-    quantiles = quantiles.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        *[round4(F.col(label(q))).alias(label(q)) for q in qs],
-    )
-    match: Column = F.lit(True)
-    for k in keys:
-        match = match & counts[k].eqNullSafe(quantiles[f"_k_{k}"])
-    names = [c for c in counts.columns if c != "max"]
-    table = counts.join(quantiles, match, "left").select(
-        *[counts[c] for c in names], *[label(q) for q in qs], "max"
-    )
-    return table if by else table.drop(_GROUP)
+    top = round4(F.max(F.col(value).cast("double"))).alias("max")
+    table = _with_quantiles(rows, keys, value, qs, [F.count(value).alias("n"), *extra, top], min_rows)
+    names = [c for c in table.columns if c not in (*keys, "max", "_q")]
+    cells = [round4(F.col("_q")[i]).alias(label(q)) for i, q in enumerate(qs)]
+    return table.select(*by, *[F.col(f"`{n}`") for n in names], *cells, "max")

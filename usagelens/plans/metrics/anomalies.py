@@ -2,147 +2,163 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens import settings
 from usagelens.functions.scalars import is_error, percent1, share
-from usagelens.operators.counts import mode_of, owner_rows, top1_share
+from usagelens.operators.counts import top1_share
 from usagelens.operators.rhythm import cadence
 from usagelens.plans.metrics.model import MetricResult, Tables
 
-
-@dataclass(frozen=True)
-class Slice:
-    order: int
-    name: str
-    rows: DataFrame
-    owner: DataFrame
-    mine: DataFrame
+_BY = "anomaly"
 
 
-def _slices(requests: DataFrame) -> list[Slice]:
-    """The three slices with the rows of their owner; an owner has at least 80 % of a slice."""
+def _conditions() -> list[tuple[str, Column]]:
     families, hours = settings.ANOMALY_LEGACY_FAMILIES, settings.ANOMALY_OFFPEAK_HOURS
-    found = []
-    for order, name, condition in (
-        (1, f"{settings.ANOMALY_ERROR_CODE} concentrated", F.col("error_code") == settings.ANOMALY_ERROR_CODE),
-        (2, f"legacy models ({'/'.join(families)}) concentrated", F.col("model_family").isin(*families)),
-        (3, f"off-peak hours ({hours[0]}-{hours[-1]}) concentrated", F.col("hour_local").isin(*hours)),
-    ):
-        rows = requests.where(condition)
-        owner = top1_share(rows, [], "username").where(
-            F.col("top_share") >= settings.ANOMALY_DOMINANT
-        )
-        found.append(Slice(order, name, rows, owner, owner_rows(rows, owner, "username")))
-    return found
+    code = settings.ANOMALY_ERROR_CODE
+    return [
+        (f"{code} concentrated", F.col("error_code") == code),
+        (f"legacy models ({'/'.join(families)}) concentrated", F.col("model_family").isin(*families)),
+        (f"off-peak hours ({hours[0]}-{hours[-1]}) concentrated", F.col("hour_local").isin(*hours)),
+    ]
 
 
-def anomaly_owners(requests: DataFrame) -> DataFrame:
-    """(anomaly, slice_requests, slice_users, n_requests) of the slices that have an owner."""
-    blocks = [
-        s.owner.select(
-            F.lit(s.name).alias("anomaly"),
-            F.col("n").alias("slice_requests"),
-            F.col("n_users").alias("slice_users"),
-            F.col("top_n").alias("n_requests"),
-        )
-        for s in _slices(requests)
-    ]
-    return blocks[0].unionByName(blocks[1]).unionByName(blocks[2])
+def anomaly_names() -> list[str]:
+    return [name for name, _ in _conditions()]
 
 
-def flagged_requests(requests: DataFrame) -> DataFrame:
-    """Distinct request ids in any owned slice: one user may own several."""
-    ids = [s.mine.select("request_id") for s in _slices(requests)]
-    return ids[0].unionByName(ids[1]).unionByName(ids[2]).distinct()
+def sliced(requests: DataFrame) -> DataFrame:
+    """Every request under each slice it belongs to, with the slice in ``anomaly``."""
+    names = [F.when(condition, F.lit(name)) for name, condition in _conditions()]
+    return requests.select("*", F.explode(F.array_compact(F.array(*names))).alias(_BY))
 
 
-def _mode(rows: DataFrame, c: str, out: str) -> DataFrame:
-    return mode_of(rows.select(c), [], c, out).select(out)
+def owners(slices: DataFrame) -> DataFrame:
+    """(anomaly, n, n_users, top_user, top_n, top_share) where one user has at least 80 %."""
+    tops = top1_share(slices, [_BY], "username")
+    # One row per slice: three at most.
+    return tops.where(F.col("top_share") >= settings.ANOMALY_DOMINANT).limit(len(anomaly_names()))
 
 
-def _facts(s: Slice, requests: DataFrame, users: DataFrame) -> list[DataFrame]:
-    """One-row aggregates about a slice and its owner, each with its own columns."""
-    whole = owner_rows(requests, s.owner, "username")
-    failed = is_error(F.col("status_code"), settings.ERROR_STATUS_FLOOR)
-    common = [
-        s.owner.select(
-            F.col("top_user").alias("_owner"),
-            F.col("n").alias("slice_requests"),
-            F.col("n_users").alias("slice_users"),
-            F.col("top_n").alias("n_requests"),
-        ),
-        cadence(whole if s.order == 3 else s.mine, "username", "ts_utc").select("median_gap", "tight_share"),
-    ]
-    if s.order == 1:
-        minutes = (F.unix_micros(F.max("ts_utc")) - F.unix_micros(F.min("ts_utc"))) / F.lit(60e6)
-        return common + [
-            s.mine.agg(minutes.alias("window_minutes")),
-            mode_of(s.mine.select("prompt_len"), [], "prompt_len", "top_prompt_len").withColumnRenamed(
-                "n", "n_top_prompt_len"
-            ),
-            _mode(s.mine, "client_type", "top_client_type"),
-            whole.agg(
-                F.count("*").alias("owner_requests"),
-                F.avg(F.coalesce(failed, F.lit(False)).cast("double")).alias("owner_error_share"),
-                F.count_distinct("user_agent").alias("n_user_agents"),
-            ),
-            _mode(whole, "endpoint", "top_endpoint"),
-            _mode(whole, "model_family", "top_model_family"),
-        ]
-    if s.order == 2:
-        chat = F.coalesce(F.col("endpoint") == "/v1/chat/completions", F.lit(False))
-        agents = top1_share(s.mine, [], "user_agent")
-        return common + [
-            s.mine.agg(F.avg(chat.cast("double")).alias("chat_share")),
-            agents.select(F.col("top_share").alias("top_agent_share")),
-        ]
-    offpeak = F.coalesce(F.col("hour_local").isin(*settings.ANOMALY_OFFPEAK_HOURS), F.lit(False))
-    return common + [
-        whole.agg(
-            F.count("*").alias("owner_requests"),
-            F.avg(offpeak.cast("double")).alias("owner_slice_share"),
-            F.count_distinct("date_local").alias("n_active_days"),
-        ),
-        owner_rows(users, s.owner, "username").select("account_type"),
-        requests.agg(F.count_if(F.col("client_type") == "direct").alias("n_direct")),
-    ]
+def _owned(rows: DataFrame, owner: DataFrame, on: list[str]) -> DataFrame:
+    keys = owner.select(_BY, F.col("top_user").alias("username"))
+    return rows.join(F.broadcast(keys), on)
 
 
-def _one_row(parts: Sequence[DataFrame]) -> DataFrame:
-    """Side by side columns of one-row tables, without a join."""
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part, allowMissingColumns=True)
-    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+def anomaly_owners(requests: DataFrame) -> DataFrame:
+    """(anomaly, slice_requests, slice_users, n_requests) of the slices that have an owner."""
+    return owners(sliced(requests)).select(
+        _BY,
+        F.col("n").alias("slice_requests"),
+        F.col("n_users").alias("slice_users"),
+        F.col("top_n").alias("n_requests"),
+    )
+
+
+def flagged_requests(requests: DataFrame) -> DataFrame:
+    """Distinct request ids in any owned slice: one user may own several."""
+    slices = sliced(requests.select("request_id", "username", "error_code", "model_family", "hour_local"))
+    return _owned(slices, owners(slices), [_BY, "username"]).select("request_id").distinct()
+
+
+def _tops(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Per slice, the most frequent value of each column, its count and its share; ties go low."""
+    pairs = F.explode(
+        F.array(
+            *[
+                # Padding makes numbers sort as numbers.
+                F.struct(F.lit(out).alias("out"), (
+                    F.lpad(F.col(c).cast("string"), 20, "0") if c == "prompt_len" else F.col(c)
+                ).alias("value"))
+                for out, c in columns.items()
+            ]
+        )
+    )
+    counts = (
+        rows.select(_BY, pairs.alias("p"))
+        .where(F.col("p.value").isNotNull())
+        .groupBy(_BY, "p.out", "p.value")
+        .agg(F.count("*").alias("n"))
+    )
+    best = counts.groupBy(_BY, "out").agg(
+        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"),
+        F.max("n").alias("n"),
+        F.sum("n").alias("total"),
+    )
+
+    def of(out: str, c: str) -> Column:
+        return F.max(F.when(F.col("out") == out, F.col(c)))
+
+    return best.groupBy(_BY).agg(
+        *[of(out, "value").alias(f"top_{out}") for out in columns],
+        *[of(out, "n").alias(f"n_top_{out}") for out in columns],
+        *[(of(out, "n").cast("double") / of(out, "total")).alias(f"share_top_{out}") for out in columns],
+    )
 
 
 def anomaly_facts(requests: DataFrame, users: DataFrame) -> DataFrame:
     """One row per owned slice with every number its description uses; the owner is left out.
 
-    ``same_owner_as`` is the place of an earlier listed row with the same owner.
+    All slices go through the same aggregates together. ``same_owner_as`` is the place of an
+    earlier listed row with the same owner.
     """
-    rows = None
-    for s in _slices(requests):
-        facts = _one_row(_facts(s, requests, users)).select(
-            F.lit(s.order).alias("_order"), F.lit(s.name).alias("anomaly"), "*"
-        )
-        rows = facts if rows is None else rows.unionByName(facts, allowMissingColumns=True)
-    total = requests.agg(F.count("*")).scalar()
-    place = F.row_number().over(Window.orderBy("_order"))
-    earliest = F.min("_place").over(Window.partitionBy("_owner"))
+    slices = sliced(requests)
+    owner = owners(slices)
+    mine = _owned(slices, owner, [_BY, "username"])
+    whole = _owned(requests, owner, ["username"])
+    names = anomaly_names()
+    failed = is_error(F.col("status_code"), settings.ERROR_STATUS_FLOOR)
+    chat = F.col("endpoint") == "/v1/chat/completions"
+    offpeak = F.col("hour_local").isin(*settings.ANOMALY_OFFPEAK_HOURS)
+
+    def rate(condition: Column) -> Column:
+        return F.avg(F.coalesce(condition, F.lit(False)).cast("double"))
+
+    about_mine = mine.groupBy(_BY).agg(
+        ((F.unix_micros(F.max("ts_utc")) - F.unix_micros(F.min("ts_utc"))) / F.lit(60e6)).alias("window_minutes"),
+        rate(chat).alias("chat_share"),
+    )
+    about_whole = whole.groupBy(_BY).agg(
+        F.count("*").alias("owner_requests"),
+        rate(failed).alias("owner_error_share"),
+        rate(offpeak).alias("owner_offpeak_share"),
+        F.count_distinct("user_agent").alias("n_user_agents"),
+        F.count_distinct("date_local").alias("n_active_days"),
+    )
+    top_mine = _tops(mine, {"prompt_len": "prompt_len", "client_type": "client_type", "user_agent": "user_agent"})
+    top_whole = _tops(whole, {"endpoint": "endpoint", "model_family": "model_family"})
+    # The rhythm of the third slice is that of everything its owner sends.
+    timed = mine.where(F.col(_BY) != names[2]).select(_BY, "ts_utc").unionByName(
+        whole.where(F.col(_BY) == names[2]).select(_BY, "ts_utc")
+    )
+    rhythm = cadence(timed, _BY, "ts_utc").select(_BY, "median_gap", "tight_share")
+    kinds = _owned(users, owner, ["username"]).select(_BY, "account_type")
+    totals = requests.agg(
+        F.struct(F.count("*").alias("n"), F.count_if(F.col("client_type") == "direct").alias("direct"))
+    ).scalar()
+    rows = owner
+    for part in (about_mine, about_whole, top_mine, top_whole, rhythm, kinds):
+        rows = rows.join(part, _BY, "left")
+    order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(_BY))
+    place = Window.orderBy("_order")
+    earliest = F.min("_place").over(Window.partitionBy("top_user"))
     return (
-        rows.where(F.col("_owner").isNotNull())
-        .withColumn("_place", place)
+        rows.withColumn("_order", order)
+        .withColumn("_place", F.row_number().over(place))
         .withColumn("same_owner_as", F.when(earliest < F.col("_place"), earliest))
-        .withColumn("n_users", F.lit(1).cast("bigint"))
-        .withColumn("share", share(F.col("n_requests"), total))
-        .withColumn("n_total", total)
-        .drop("_owner", "_place")
+        .withColumn("_totals", totals)
+        .select(
+            "_order", _BY, F.lit(1).cast("bigint").alias("n_users"), F.col("top_n").alias("n_requests"),
+            share(F.col("top_n"), F.col("_totals.n")).alias("share"),
+            F.col("n").alias("slice_requests"), F.col("n_users").alias("slice_users"), "same_owner_as",
+            "median_gap", "tight_share", "window_minutes",
+            F.col("top_prompt_len").cast("bigint").alias("top_prompt_len"), "n_top_prompt_len",
+            "top_client_type", "chat_share", F.col("share_top_user_agent").alias("top_agent_share"),
+            "owner_requests", "owner_error_share", "owner_offpeak_share", "n_user_agents", "n_active_days",
+            "top_endpoint", "top_model_family", "account_type",
+            F.col("_totals.direct").alias("n_direct"), F.col("_totals.n").alias("n_total"),
+        )
     )
 
 
@@ -190,7 +206,7 @@ def description() -> Column:
         F.coalesce("account_type", F.lit("unknown")), "; the account sent ", F.col("owner_requests"),
         " requests (", _percent("owner_requests", "n_total"), "% of all, ",
         F.coalesce(F.when(F.col("n_direct") > 0, _percent("owner_requests", "n_direct")), F.lit("-")),
-        "% of the direct ones), ", percent1(F.col("owner_slice_share")), "% of them off-peak, on ",
+        "% of the direct ones), ", percent1(F.col("owner_offpeak_share")), "% of them off-peak, on ",
         F.col("n_active_days"), " days; ", _rhythm(),
     )
     text = F.when(F.col("_order") == 1, first).when(F.col("_order") == 2, second).otherwise(third)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.functions.scalars import round4
-from usagelens.plans.disclosure import policy_warnings, rule_warnings, suppress
+from usagelens.plans.disclosure import policy_warnings, suppress
 
 Tables = dict[str, DataFrame]
 LEVELS = ("request", "turn", "thread", "user")
@@ -67,7 +67,6 @@ def run_metric(spec: MetricSpec, tables: Tables, rules: DataFrame | None) -> Met
         return result
     columns = result.data.columns
     result.warnings += policy_warnings(columns, spec.group_by, result.ratio_columns)
-    result.warnings += rule_warnings(rules, spec.group_by, columns)
     result.data, result.suppressed = suppress(
         result.data, spec.group_by, result.ratio_columns, rules, result.total_row
     )

@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 
+from usagelens.plans.disclosure import rule_warnings
 from usagelens.plans.metrics import METRICS
 from usagelens.plans.metrics.model import MetricSpec, Tables, run_metric
 
@@ -51,10 +52,11 @@ def _run_one(spec: MetricSpec, tables: Tables, rules: DataFrame | None, folder:
             written = result.data.sparkSession.read.parquet(target)
             hidden = written.orderBy("dimension", "group_value").collect()
         counts = result.coverage().first()
+        missing = rule_warnings(rules, spec.group_by, result.data.columns)
     except Exception as exc:  # noqa: BLE001 - one failing metric must not stop the others
         message = f"{type(exc).__name__}: {exc}"
         return (*head, None, None, None, None, spec.version, "failed", message)
-    notes = [*result.warnings, *[f"suppressed {h.dimension}={h.group_value} ({h.reason})" for h in hidden]]
+    notes = [*result.warnings, *missing, *[f"suppressed {h.dimension}={h.group_value} ({h.reason})" for h in hidden]]
     return (
         *head, counts.coverage, counts.n_total, counts.n_covered, len(hidden), spec.version,
         "success", " | ".join(notes),
