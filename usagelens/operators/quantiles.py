@@ -18,7 +18,6 @@ from usagelens.functions.scalars import round4
 from usagelens.operators.heavy import heavy_keys, rows_of, same_keys
 
 _ACCURACY = 10_000
-_MARGIN = 3 / _ACCURACY
 _GROUP = "_group"
 
 
@@ -46,18 +45,20 @@ def _with_quantiles(
     light = F.percentile(F.when(F.col("_n").isNull(), v), wanted).alias("_light")
     marked = rows.join(F.broadcast(listed), match, "left")
     table = marked.groupBy(*keys).agg(*extra, light)
-    found = _bracketed(rows.select(*keys, v.alias("_v")), keys, heavy, qs)
+    # Three times the error of the sketch, and two ranks for the interpolation.
+    margin = 3 / _ACCURACY + 2 / min_rows
+    found = _bracketed(rows.select(*keys, v.alias("_v")), keys, heavy, qs, margin)
     return table.join(F.broadcast(found), match, "left").select(
         *keys, *table.columns[len(keys) : -1], F.coalesce("_heavy", "_light").alias("_q")
     )
 
 
 def _bracketed(
-    values: DataFrame, keys: list[str], heavy: DataFrame, qs: Sequence[float]
+    values: DataFrame, keys: list[str], heavy: DataFrame, qs: Sequence[float], margin: float
 ) -> DataFrame:
     """(_h_ keys.., _heavy): the quantiles of at most HEAVY_KEYS groups."""
     values = values.where(F.col("_v").isNotNull())
-    marks = [min(max(q + d, 0.0), 1.0) for q in qs for d in (-_MARGIN, _MARGIN)]
+    marks = [min(max(q + d, 0.0), 1.0) for q in qs for d in (-margin, margin)]
     sketches = (
         rows_of(values, keys, heavy)
         .groupBy(*keys)
@@ -71,7 +72,7 @@ def _bracketed(
     brackets = sketches.select(
         *[F.col(k).alias(n) for k, n in zip(keys, names)],
         "_n",
-        F.posexplode(F.array(*[_bracket(i, q) for i, q in enumerate(qs)])).alias("_i", "_b"),
+        F.posexplode(F.array(*[_bracket(i, q, margin) for i, q in enumerate(qs)])).alias("_i", "_b"),
     )
     above = F.col("_b.lo").isNull() | (F.col("_v") >= F.col("_b.lo"))
     kept = (
@@ -103,11 +104,11 @@ def _bracketed(
     return ends.groupBy(*names).agg(F.array(*by_place).alias("_heavy"))
 
 
-def _bracket(i: int, q: float) -> Column:
+def _bracket(i: int, q: float, margin: float) -> Column:
     """struct(q, lo, hi); a bracket that reaches an end of the range is open there."""
     none = F.lit(None).cast("double")
-    lo = F.col("_marks")[2 * i] if q > _MARGIN else none
-    hi = F.col("_marks")[2 * i + 1] if q < 1 - _MARGIN else none
+    lo = F.col("_marks")[2 * i] if q > margin else none
+    hi = F.col("_marks")[2 * i + 1] if q < 1 - margin else none
     return F.struct(F.lit(float(q)).alias("q"), lo.alias("lo"), hi.alias("hi"))
 
 
