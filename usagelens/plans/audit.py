@@ -28,7 +28,8 @@ def walk_paths(df: DataFrame, key: str, v: str = "v", max_depth: int = MAX_DEPTH
         F.struct(F.lit("").alias("path"), F.col(v).alias("node"), F.lit(True).alias("open")).alias("e"),
     )
     for _ in range(max_depth):
-        rows = rows.select("key", F.explode(_expand(F.col("e"))).alias("e"))
+        # Never empty; the outer form keeps the optimizer from repeating the step in a filter.
+        rows = rows.select("key", F.explode_outer(_expand(F.col("e"))).alias("e"))
     is_container = F.col("e.node").isNull()
     return rows.where(F.col("e.path") != "").select(
         "key",

@@ -67,8 +67,10 @@ def _broken(df: DataFrame, fields: Sequence[Field], tz: str, key: str) -> DataFr
             for c, name, broken, value in _checks(df, fields, tz)
         ]
     )
-    broken = F.explode(F.array_compact(tests)).alias("t")
-    return df.select(F.col(key).alias("key"), broken).select("t.*", "key")
+    # The outer form: for the inner one the optimizer repeats all checks in a filter on their number.
+    broken = F.explode_outer(F.array_compact(tests)).alias("t")
+    found = df.select(F.col(key).alias("key"), broken).where(F.col("t").isNotNull())
+    return found.select("t.*", "key")
 
 
 def duplicates(df: DataFrame, column: str) -> DataFrame:
