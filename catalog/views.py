@@ -193,8 +193,8 @@ def _requests(spark: SparkSession, application: str, sf_dir: str) -> DataFrame:
     columns = []
     for f in REQUEST_FIELDS:
         text = "cast(weekday(ts_local) as bigint)" if f.name == "weekday_local" else f.name
-        text = text if f.name in present | {"weekday_local"} else f"cast(null as {f.spark_type.simpleString()})"
-        columns.append(f"{text} as {f.name}")
+        text = text if f.name in present | {"weekday_local"} else "null"
+        columns.append(f"cast({text} as {f.spark_type.simpleString()}) as {f.name}")
     return rows.selectExpr(*columns)
 
 

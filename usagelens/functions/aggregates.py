@@ -32,11 +32,7 @@ def join_unique(c: Column) -> Column:
 
 def union_csv(c: Column) -> Column:
     """Distinct parts of comma separated values, sorted and comma joined; null when none."""
-    return join_csv_sets(F.collect_set(c))
-
-
-def join_csv_sets(values: Column) -> Column:
-    parts = F.flatten(F.transform(values, lambda v: F.split(v, ",")))
+    parts = F.flatten(F.transform(F.collect_set(c), lambda v: F.split(v, ",")))
     return join_sorted(F.filter(parts, lambda part: part != ""))
 
 

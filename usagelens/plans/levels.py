@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelens import settings
-from usagelens.functions.aggregates import any_of, first_non_null, join_sorted, join_unique, sum0
-from usagelens.functions.aggregates import join_csv_sets
+from usagelens.functions.aggregates import (
+    any_of,
+    first_non_null,
+    join_sorted,
+    join_unique,
+    sum0,
+    union_csv,
+)
 from usagelens.functions.scalars import is_error, safe_ratio, tool_messages
 from usagelens.functions.times import duration_ms
 from usagelens.operators.concentration import concentration
@@ -23,15 +29,6 @@ def _errors() -> Column:
     return F.count_if(is_error(F.col("status_code"), settings.ERROR_STATUS_FLOOR))
 
 
-def _set(c: str) -> Column:
-    return F.collect_set(F.col(c).cast("string"))
-
-
-def _union(c: str) -> Column:
-    """Distinct values of sets that were already collected per sub-group."""
-    return join_sorted(F.flatten(F.collect_list(c)))
-
-
 def build_turn(requests: DataFrame, min_rows: int | None = settings.HEAVY_ROWS) -> DataFrame:
     """One row per turn; requests without a turn are left out.
 
@@ -57,7 +54,7 @@ def build_turn(requests: DataFrame, min_rows: int | None = settings.HEAVY_ROWS)
             F.sum("latency_ms").alias("latency_ms"),
             F.max("latency_ms").alias("latency_ms_max"),
             *[F.max(c).alias(c) for c in _COUNTERS],
-            _set("model_family").alias("_families"),
+            F.collect_set("model_family").alias("_families"),
             _errors().alias("n_errors"),
             any_of(F.col("usage_missing")).alias("has_usage_missing"),
         )
@@ -78,7 +75,8 @@ def build_turn(requests: DataFrame, min_rows: int | None = settings.HEAVY_ROWS)
             sum0(F.col("latency_ms")).alias("latency_ms_sum"),
             F.max("latency_ms_max").alias("latency_ms_max"),
             *[F.max(c).alias(f"{c}_peak") for c in _COUNTERS],
-            _union("_families").alias("model_family_set"),
+            # One set per piece, so a few hundred at most.
+            join_sorted(F.flatten(F.collect_list("_families"))).alias("model_family_set"),
             F.sum("n_errors").alias("n_errors"),
             F.bool_or("has_usage_missing").alias("has_usage_missing"),
         )
@@ -98,43 +96,26 @@ def build_turn(requests: DataFrame, min_rows: int | None = settings.HEAVY_ROWS)
 def build_thread(requests: DataFrame) -> DataFrame:
     """One row per thread.
 
-    Requests are first reduced to (thread, turn), which spreads a heavy thread over its turns and
-    turns the distinct turn count into a plain count.
+    With its one distinct count Spark aggregates by (thread, turn) first and merges those buffers,
+    so a heavy thread spreads over its turns and only distinct set members are ever held.
     """
     at = F.struct("ts_utc", "request_id")
     rows = requests.where(F.col("thread_id").isNotNull())
-    firsts = ("username", "client_type")
-    sets = ("model_family", "endpoint", "tool_types", "error_code")
-    per_turn = rows.groupBy("thread_id", "turn_id").agg(
-        *[first_non_null(F.col(c), at).alias(c) for c in firsts],
-        *[F.min(F.when(F.col(c).isNotNull(), at)).alias(f"_at_{c}") for c in firsts],
+    threads = rows.groupBy("thread_id").agg(
+        *[first_non_null(F.col(c), at).alias(c) for c in ("username", "client_type")],
         F.max("parent_thread_id").alias("parent_thread_id"),
-        F.min("ts_utc").alias("_from"),
-        F.max("ts_utc").alias("_to"),
         F.min("ts_local").alias("ts_first"),
         F.max("ts_local").alias("ts_last"),
+        duration_ms(F.min("ts_utc"), F.max("ts_utc")).alias("duration_ms"),
+        F.count_distinct("turn_id").alias("n_turns"),
         F.count("*").alias("n_requests"),
-        *[F.sum(c).alias(c) for c in _TOKENS],
-        *[F.max(c).alias(c) for c in _COUNTERS],
-        *[_set(c).alias(f"_{c}") for c in sets],
-        _errors().alias("n_errors"),
-    )
-    tools = join_csv_sets(F.flatten(F.collect_list("_tool_types")))
-    threads = per_turn.groupBy("thread_id").agg(
-        *[F.min_by(c, f"_at_{c}").alias(c) for c in firsts],
-        F.max("parent_thread_id").alias("parent_thread_id"),
-        F.min("ts_first").alias("ts_first"),
-        F.max("ts_last").alias("ts_last"),
-        duration_ms(F.min("_from"), F.max("_to")).alias("duration_ms"),
-        F.count("turn_id").alias("n_turns"),
-        F.sum("n_requests").alias("n_requests"),
         *[sum0(F.col(c)).alias(f"{c}_sum") for c in _TOKENS],
         *[F.max(c).alias(f"{c}_peak") for c in _COUNTERS],
-        _union("_model_family").alias("model_family_set"),
-        _union("_endpoint").alias("endpoint_set"),
-        tools.alias("tool_types_union"),
-        F.sum("n_errors").alias("n_errors"),
-        _union("_error_code").alias("error_codes"),
+        join_unique(F.col("model_family")).alias("model_family_set"),
+        join_unique(F.col("endpoint")).alias("endpoint_set"),
+        union_csv(F.col("tool_types")).alias("tool_types_union"),
+        _errors().alias("n_errors"),
+        join_unique(F.col("error_code")).alias("error_codes"),
     )
     peaks = [F.col(f"{c}_peak") for c in _COUNTERS]
     return threads.select(
