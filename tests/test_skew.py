@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from usagelens.operators.dedupe import dedupe, dedupe_against
-from usagelens.operators.heavy import heavy_keys, with_piece
+from usagelens.operators.heavy import heavy_keys, staged, surely_light, with_piece
 from usagelens.operators.ordered import compaction_stats, gaps, position_in
 from usagelens.operators.quantiles import exact_quantiles, quantile_table
 from usagelens.operators.rhythm import cadence
@@ -156,3 +156,11 @@ def test_dedupe_keeps_the_first_and_all_without_key(spark):
     assert got.count() == 333 + 333 + 1
     against = dedupe_against(got, spark.createDataFrame([("hot",), (None,), ("1",)], "k string"), "k", "place")
     assert against.count() == 333 + 332
+
+
+def test_large_intermediates_are_staged_and_small_ones_are_not(spark):
+    df = spark.range(100).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    assert surely_light(spark.range(10), 10**6) and not surely_light(spark.range(10**6), 100)
+    assert staged(df) is df
+    kept = staged(df, min_rows=1)
+    assert kept is not df and rows(kept, "k") == rows(df, "k")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usagelens import settings
+from usagelens.sources.paths import scratch_dir
 
 PIECE = "_piece"
 # Files hold more rows than their size suggests to the optimizer; this is a generous allowance.
@@ -32,6 +33,18 @@ def surely_light(df: DataFrame, min_rows: int) -> bool:
     return size / width * _COMPRESSION < min_rows
 
 
+def staged(df: DataFrame, min_rows: int = settings.HEAVY_ROWS) -> DataFrame:
+    """The rows, kept in the shared folder first unless the table is surely small.
+
+    For the result of a shuffle that several passes are about to read.
+    """
+    if surely_light(df, min_rows):
+        return df
+    folder = scratch_dir(df.sparkSession, "staged")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def heavy_keys(
     df: DataFrame,
     keys: Sequence[str],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from usagelens import settings
 from usagelens.functions.aggregates import share_true
+from usagelens.operators.heavy import staged
 from usagelens.operators.ordered import gaps
 from usagelens.operators.quantiles import exact_quantiles
 
@@ -20,7 +21,8 @@ def cadence(
 
     Fewer than three gaps say nothing about rhythm: median and share are then null.
     """
-    between = gaps(df, by, ts, min_rows)
+    # The gaps are read once for their number, for the medians and for the shares.
+    between = staged(gaps(df, by, ts, min_rows))
     counts = between.groupBy(by).agg(F.count("*").alias("n_gaps"))
     medians = exact_quantiles(
         between, [by], "gap_seconds", (0.5,), min_rows or settings.HEAVY_ROWS

@@ -18,6 +18,7 @@ from usagelens.functions.scalars import (
     share,
 )
 from usagelens.operators.counts import value_counts_long
+from usagelens.operators.heavy import staged
 from usagelens.operators.literals import value_rows
 from usagelens.operators.ordered import position_in
 from usagelens.operators.quantiles import label, quantile_table
@@ -92,9 +93,10 @@ def cache_hit_by_request_position(t: Tables) -> MetricResult:
         "turn_id", "ts_utc", "request_id",
         cache_rate(F.col("cached_tokens"), F.col("prompt_tokens")).alias("cache_rate"),
     )
-    placed = position_in(usable, "turn_id", "ts_utc", "request_id").withColumn(
-        "bucket", position_bucket(F.col("position"))
+    placed = position_in(usable, "turn_id", "ts_utc", "request_id").select(
+        "turn_id", "cache_rate", position_bucket(F.col("position")).alias("bucket")
     )
+    placed = staged(placed)
     table = quantile_table(
         placed, ["bucket"], "cache_rate",
         extra=[
