@@ -104,9 +104,13 @@ def top1_share(df: DataFrame, by: Sequence[str], user: str) -> DataFrame:
 
 
 def owner_rows(df: DataFrame, owner: DataFrame, user: str) -> DataFrame:
-    """Rows of the users named in ``owner`` (the column ``top_user`` of at most a few rows)."""
-    names = owner.select(F.col("top_user").alias(user)).limit(64)
-    return df.join(F.broadcast(names), user, "left_semi")
+    """Rows of the users named in the column ``top_user`` of ``owner``.
+
+    Without a hint: the single owner of an ungrouped ``top1_share`` is known to be one row and is
+    broadcast, a longer list is joined by size.
+    """
+    names = owner.select(F.col("top_user").alias(user))
+    return df.join(names, user, "left_semi")
 
 
 def unseen_values(df: DataFrame, known: dict[str, Sequence[str]]) -> DataFrame:

@@ -28,15 +28,24 @@ class Places:
     quarantine: str
 
 
-def _stage(spark: SparkSession, places: Places, pending: DataFrame, at: datetime.datetime, tz: str):
-    """Parse the pending files once and park the typed rows, good and bad, in the shared folder."""
-    oldest = pending.agg(F.min("file_mtime")).first()[0]
-    records = R.read_raw(spark, places.raw, oldest).join(
-        pending.select("source_path"), "source_path", "left_semi"
-    )
-    folder = scratch_dir(spark, "ingest")
+def _stage(
+    spark: SparkSession, places: Places, files: DataFrame, pending: DataFrame, n_pending: int,
+    at: datetime.datetime, tz: str,
+):
+    """Parse the pending files once and park the typed rows, good and bad, in the shared folder.
+
+    Files that are no older than the oldest pending one are read. If that includes others they are
+    dropped after flattening, when only the narrow typed rows have to meet the list of names.
+    """
+    bound = R.oldest_bound(pending)
     keep = ("file_mtime", "file_size", "_error")
-    flatten(R.with_error(records), F.lit(at), tz=tz, keep=keep).write.parquet(folder)
+    records = R.with_error(R.read_raw(spark, places.raw, bound))
+    rows = flatten(records, F.lit(at), tz=tz, keep=keep)
+    n_read = files.where(F.col("file_mtime") > F.lit(bound).cast("timestamp")).count()
+    if n_read != n_pending:
+        rows = rows.join(pending.select("source_path"), "source_path", "left_semi")
+    folder = scratch_dir(spark, "ingest")
+    rows.write.parquet(folder)
     return folder, spark.read.parquet(folder)
 
 
@@ -62,7 +71,7 @@ def ingest(
     if n_pending == 0:
         return _report(spark, scanned=n_files, skipped=n_files)
 
-    folder, staged = _stage(spark, places, pending, at, tz)
+    folder, staged = _stage(spark, places, files, pending, n_pending, at, tz)
     good = staged.where(F.col("_error").isNull())
     outcome = staged.agg(
         F.count_if(F.col("_error").isNull()).alias("processed"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,19 +37,24 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_raw(
-    spark: SparkSession, root: str, modified_from: datetime.datetime | None = None
-) -> DataFrame:
+def oldest_bound(files: DataFrame) -> str | None:
+    """A time just before the oldest file, in whole seconds of the session's zone.
+
+    The listing filter takes no fractions and excludes the bound itself.
+    """
+    second = F.date_trunc("second", F.min("file_mtime")) - F.expr("interval 1 second")
+    return files.agg(F.date_format(second, "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
+
+
+def read_raw(spark: SparkSession, root: str, modified_after: str | None = None) -> DataFrame:
     """(source_path, file_mtime, file_size, text, v): every raw file as one parsed record.
 
-    With ``modified_from`` older files are skipped while listing; they are never opened.
-    ``v`` is null where the text is not JSON.
+    Files up to ``modified_after`` are skipped while listing and never opened. ``v`` is null where
+    the text is not JSON.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _JSON)
-    if modified_from is not None:
-        # The option is exclusive and has no fraction of a second.
-        bound = modified_from.replace(microsecond=0) - datetime.timedelta(seconds=1)
-        reader = reader.option("modifiedAfter", bound.strftime("%Y-%m-%dT%H:%M:%S"))
+    if modified_after is not None:
+        reader = reader.option("modifiedAfter", modified_after)
     # wholetext has to be an argument: as an option the argument's default overrides it.
     files = reader.text(root, wholetext=True)
     return files.select(
