@@ -4,8 +4,9 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
+from catalog import registry
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
