@@ -55,7 +55,7 @@ def _quality_sql() -> str:
 with w as (
   select doc_id, lang, source, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
     regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as solid,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
   from documents),
 grams as (
   select doc_id, unnest(range(1, len(words) - 6)) as i, words from w where len(words) >= 8),
