@@ -42,9 +42,9 @@ class Stored:
         self._spark = spark
         self._folders: dict[int, tuple[DataFrame, str]] = {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         folder = scratch_dir(self._spark, name)
-        df.write.parquet(folder)
+        df.write.parquet(folder, **options)
         kept = self._spark.read.schema(df.schema).parquet(folder)
         self._folders[id(kept)] = (kept, folder)
         return kept

@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import documents, id_remainder  # noqa: F401
+from usagelens.llm.classifier import quality_scores
+from usagelens.llm.common import documents, id_remainder
 from usagelens.llm.exact_dedup import exact_duplicates
+from usagelens.llm.langid import language_id
 from usagelens.llm.mixing import mix
 from usagelens.llm.packing import pack_documents
+from usagelens.llm.pii import personal_data
 from usagelens.llm.quality import BUCKETS_PER_DOUBLING, FENCE, LEAST_SPREAD, MIN_DOCS, quality_rules
 from usagelens.llm.registry import query
 from usagelens.llm.simhash import near_groups
+from usagelens.llm.substrings import substring_dedup
+from usagelens.llm.token_files import round_trip
 
 _EXACT_SQL = r"""
 with d as (
@@ -101,6 +106,19 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_remainder("doc_id", 3) == 1
+    found = language_id(documents(spark, sf_dir), ~held_out, held_out.alias("held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
@@ -114,6 +132,24 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex(F.col("bits")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_remainder("doc_id", 5) == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality_scores(documents(spark, sf_dir), labels, ~held_out, held_out.alias("held_out"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+@query("op9_token_binary")
+def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op10_mixing")
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
