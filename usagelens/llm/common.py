@@ -69,7 +69,8 @@ def components(edges: DataFrame, store: Stored) -> DataFrame:
 
     Large-star and small-star in turn. A round links every larger neighbour of a node to its smallest neighbour, and then
     every smaller neighbour too, until the links no longer change; the number of rounds grows with the logarithm of the
-    longest path. Links are written after each round. A node's neighbours are only ever aggregated (min), never gathered.
+    longest path. Links are written after each round. A node's neighbours are only ever aggregated (min), never gathered, and
+    the minima are written before they are joined, so that the links of a node that very many share can be split.
     """
     links = store.keep(
         edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
@@ -77,12 +78,12 @@ def components(edges: DataFrame, store: Stored) -> DataFrame:
     state = None
     while True:
         both = links.union(links.select("b", "a"))
-        lows = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        lows = store.keep(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "lows")
         large = store.keep(
             both.filter("b > a").join(lows, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), "large"
         )
         store.drop(links)
-        lows = large.groupBy("a").agg(F.min("b").alias("low"))
+        lows = store.keep(large.groupBy("a").agg(F.min("b").alias("low")), "lows")
         down = large.join(lows, "a")
         links = store.keep(
             down.filter("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))

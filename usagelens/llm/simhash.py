@@ -150,5 +150,6 @@ def near_groups(
         nodes.join(linked, "node", "left").select("bits", F.coalesce("component", "node").alias("component")), "classes"
     )
     members = store.keep(rows.join(classes, "bits"), "members")
-    ids = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Written before the join: what is only aggregated would be joined where it lies, a large class in one task.
+    ids = store.keep(members.groupBy("component").agg(F.min("doc_id").alias("component_id")), "ids")
     return members.join(ids, "component").select(ROW, "doc_id", "bits", "component", "component_id")
