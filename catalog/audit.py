@@ -80,7 +80,7 @@ def walk(spark, sf):
 @query("p01_walk_paths_shallow", f"{LEAVES}\nselect path, coalesce(kind, 'object') kind, count(*) n from p where path not like '%.%' group by 1, 2")
 def shallow(spark, sf):
     """One level deep: objects are kept as leaves of kind 'object', never dropped."""
-    found = audit.walk_paths(records(spark, sf), "source_path", max_depth=1)
+    found = audit.walk_paths(records(spark, sf), "source_path", levels=1)
     return found.groupBy("path", "kind").agg(F.count("*").alias("n"))
 
 

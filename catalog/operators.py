@@ -95,9 +95,7 @@ def semi(spark, sf):
 
 @query("d05_anti_join", "select doc_id, lang from documents where doc_id not in (select doc_id from labels)")
 def anti(spark, sf):
-    return dedupe_against(
-        table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels"), "doc_id", "doc_id"
-    )
+    return dedupe_against(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels"), "doc_id")
 
 
 @query("d06_rule_lookup", sql("""
@@ -417,11 +415,12 @@ def unseen(spark, sf):
 
 
 @query("g05_transposed_statistics", """
-select a.statistic, a.v filled, b.v open from
+select a.statistic, a.v filled, b.v open, c.v pending from
 (unpivot (select cast(count(*) as double) n, max(o_totalprice) high, min(o_totalprice) low from orders where o_orderstatus = 'F') on columns(*) into name statistic value v) a join
-(unpivot (select cast(count(*) as double) n, max(o_totalprice) high, min(o_totalprice) low from orders where o_orderstatus = 'O') on columns(*) into name statistic value v) b on a.statistic = b.statistic""")
+(unpivot (select cast(count(*) as double) n, max(o_totalprice) high, min(o_totalprice) low from orders where o_orderstatus = 'O') on columns(*) into name statistic value v) b on a.statistic = b.statistic join
+(unpivot (select cast(count(*) as double) n, max(o_totalprice) high, min(o_totalprice) low from orders where o_orderstatus = 'P') on columns(*) into name statistic value v) c on a.statistic = c.statistic""")
 def transposed(spark, sf):
-    """Statistics as rows, two groups side by side."""
+    """Statistics as rows, three groups side by side."""
     stats = table(spark, sf, "orders").groupBy("o_orderstatus").agg(
         F.count("*").cast("double").alias("n"), F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low")
     )
@@ -430,4 +429,4 @@ def transposed(spark, sf):
     def of(status):
         return F.max(F.when(F.col("o_orderstatus") == status, F.col("v")))
 
-    return long.groupBy("statistic").agg(of("F").alias("filled"), of("O").alias("open"))
+    return long.groupBy("statistic").agg(of("F").alias("filled"), of("O").alias("open"), of("P").alias("pending"))

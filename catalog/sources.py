@@ -10,6 +10,7 @@ from catalog.registry import query
 from catalog.scalars import K
 from catalog.views import level_tables, requests, sql, table
 from usagelens.contract import REQUEST_SCHEMA
+from usagelens.functions.variant import json_get
 from usagelens.operators.dedupe import dedupe, dedupe_against, replace_rows
 from usagelens.plans.ingest import ingest_summary
 from usagelens.plans.metrics.runner import run_metrics
@@ -29,10 +30,47 @@ def raw_records(spark, sf):
         table(spark, sf, "events")
         .selectExpr("event_id", f"{K} as k")
         .selectExpr("concat('e', cast(event_id as string)) as source_path", f"{BROKEN_TEXT} as text", "k")
-        .withColumn("v", F.try_parse_json("text"))
+        .withColumn("v", R.parse("text"))
     )
 
 
+def supplier_files(spark, sf) -> str:
+    """Each supplier as a JSON file of its own in a folder of its own; returns the root."""
+    folder = scratch_dir(spark, "raw")
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    rows.repartition("s_suppkey").write.partitionBy("s_suppkey").json(folder)
+    return folder
+
+
+@query("a01_scan_raw_json", "select cast(s_suppkey as bigint) s_suppkey, s_name, cast(s_nationkey as bigint) s_nationkey from supplier")
+def scanned(spark, sf):
+    """The documents of a folder tree, one in each file."""
+    raw = R.read_raw(spark, supplier_files(spark, sf))
+    key = F.regexp_extract("source_path", r"^s_suppkey=(\d+)/", 1).cast("bigint")
+    return raw.select(key.alias("s_suppkey"), json_get("v", "s_name").alias("s_name"), json_get("v", "s_nationkey", "bigint").alias("s_nationkey"))
+
+
+@query("a02_source_path", "select 's_suppkey=' || s_suppkey || '/part.json' source_path from supplier")
+def paths(spark, sf):
+    """Paths below the root, of the files that a listing finds; Spark's own part names are cut off."""
+    listed = R.list_files(spark, supplier_files(spark, sf))
+    return listed.select(F.regexp_replace("source_path", r"/part-[^/]*\.json$", "/part.json").alias("source_path"))
+
+
+ODD_TEXT = """case event_id % 4 when 0 then concat('{"k": 1, "k": ', k, '}') when 1 then concat('{"k": ', k, ', "x": NaN}')
+ when 2 then concat('{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":{"j":', k, '}}}}}}}}}}') else concat('{"k": ', k, '}') end"""
+
+
+@query("a03_odd_documents", f"select count(*) n, cast(sum(k) as bigint) k from (select {K} k from events)")
+def odd_documents(spark, sf):
+    """A repeated key takes its last value; NaN and documents of ten levels are read."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    rows = table(spark, sf, "events").selectExpr("event_id", f"{K} as k").selectExpr("cast(event_id as string) as source_path", f"{ODD_TEXT} as text")
+    good, _ = R.split_bad(rows.withColumn("v", R.parse("text")))
+    k = F.coalesce(json_get("v", "k", "bigint"), json_get("v", "a.b.c.d.e.f.g.h.i.j", "bigint"))
+    return good.agg(F.count("*").alias("n"), F.sum(k).alias("k"))
+
+
 @query("a03_quarantine", f"""
 select 'e' || event_id source_path, case when slot = 0 then 'invalid JSON' else 'not an object' end error_type,
   case when slot = 0 then 'not a JSON document, ' || length('{{"k": ' || k) || ' characters' else 'the top level of the document is not an object' end error_message
@@ -105,7 +143,7 @@ def against(spark, sf):
         "l_orderkey", "l_linenumber", "case when l_linenumber <> 3 then l_orderkey end as k"
     )
     stored = table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("k"))
-    return dedupe_against(rows, stored, "k", "l_linenumber")
+    return dedupe_against(rows, stored, "k")
 
 
 @query("a08_replace_rows", """

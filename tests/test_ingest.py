@@ -220,3 +220,43 @@ def test_source_paths_are_relative_and_decoded(spark, places):
     put(places, "day one/a+b%.json", record("r"))
     assert [r.source_path for r in R.list_files(spark, places.raw).collect()] == ["day one/a+b%.json"]
     assert [r.source_path for r in R.read_raw(spark, places.raw).collect()] == ["day one/a+b%.json"]
+
+
+def test_a_broken_old_file_does_not_reopen_the_archive(spark, places, monkeypatch):
+    put(places, "broken [1].json", '{"cut', 1_600_000_000)
+    for i in range(20):
+        put(places, f"day one/{i}.json", record(f"r{i}"), 1_700_000_000 + i)
+    assert counts(ingest(spark, places, "run1", AT)) == {"scanned": 21, "processed": 20, "failed": 1, "rows": 20, "partitions": 1}
+    opened = []
+    read = R.read_raw
+
+    def watched(*args, **kwargs):
+        rows = read(*args, **kwargs)
+        opened.extend(r.source_path for r in rows.select("source_path").collect())
+        return rows
+
+    monkeypatch.setattr(R, "read_raw", watched)
+    assert counts(ingest(spark, places, "run2", AT)) == {"scanned": 21, "skipped": 20, "failed": 1}
+    assert opened == ["broken [1].json"]
+    opened.clear()
+    put(places, "broken [1].json", record("late"), 1_600_000_000)
+    put(places, "new.json", record("new"), 1_700_009_999)
+    assert counts(ingest(spark, places, "run3", AT))["rows"] == 2
+    assert sorted(opened) == ["broken [1].json", "new.json"]
+
+
+def test_odd_documents_are_read(spark, places):
+    put(places, "long.json", '{"s": "' + "x" * 25_000_000 + '"}')
+    put(places, "twice.json", '{"k": 1, "k": 2}')
+    put(places, "nan.json", '{"k": NaN}')
+    got = {r.source_path: r for r in R.read_raw(spark, places.raw).select("source_path", F.variant_get("v", "$.k", "string").alias("k"), F.length(F.variant_get("v", "$.s", "string")).alias("n"), F.col("v").isNull().alias("bad")).collect()}
+    assert not any(r.bad for r in got.values())
+    assert got["long.json"].n == 25_000_000 and got["twice.json"].k == "2"
+
+
+@pytest.mark.parametrize(("text", "expected"), [("5f", None), ("1d", None), ("5", 5.0), (" -1.5e3 ", -1500.0), (".5", 0.5), ("5.", 5.0), ("x", None), ("", None)])
+def test_numbers_in_text(spark, text, expected):
+    df = spark.createDataFrame([(json.dumps({"x": text}),)], "t string").select(F.parse_json("t").alias("v"))
+    from usagelens.functions.variant import json_node, to_double
+
+    assert df.select(to_double(json_node("v", "x"))).first()[0] == expected

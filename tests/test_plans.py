@@ -272,6 +272,35 @@ def test_audit_reports_both_directions(spark, tmp_path):
     assert everything["content.prompt"].mapped and not everything["note"].mapped
 
 
+def test_audit_walks_to_any_depth_and_leaves_unreadable_files_out(spark, tmp_path):
+    deep = {"leaf": 1}
+    for i in range(19, 0, -1):
+        deep = {f"k{i}": deep}
+    text = [("a.json", json.dumps(deep)), ("b.json", "{cut"), ("c.json", "[1]")]
+    raw = spark.createDataFrame(text, "source_path string, text string").withColumn("v", F.try_parse_json("text"))
+    audit.run_audit(raw, str(tmp_path), write_all=True)
+    [leaf] = spark.read.parquet(str(tmp_path / "all_fields")).collect()
+    assert leaf.path == ".".join(f"k{i}" for i in range(1, 20)) + ".leaf" and leaf.share == 1.0
+    assert {r.source_path for r in spark.read.parquet(str(tmp_path / "unreadable")).collect()} == {"b.json", "c.json"}
+    assert spark.read.parquet(str(tmp_path / "paths")).where("is_container").count() == 19
+
+
+@pytest.mark.parametrize("run_id", ["007", "1.10", "1e3", "2026-08-06T1430"])
+def test_rules_are_found_whatever_the_run_id_looks_like(spark, tmp_path, rules, run_id):
+    for other in ("000", run_id, "zzz"):
+        T.write_run(rules.withColumn("of", F.lit(other)), str(tmp_path), other)
+    runs = T.read_runs(spark, str(tmp_path))
+    assert T.snapshot_id(runs, run_id) == run_id
+    assert {r.of for r in T.latest_snapshot(runs, run_id).collect()} == {run_id}
+    assert T.snapshot_id(runs, "") is None
+
+
+def test_metrics_refuse_to_run_without_rules(spark, tmp_path, rules):
+    T.write_run(rules, f"{tmp_path}/runs/concentration", "008")
+    with pytest.raises(ValueError, match="no suppression rules up to run 007"):
+        pipeline.metrics(spark, "requests", "levels", f"{tmp_path}/runs", "007")
+
+
 # The whole chain -------------------------------------------------------------------------------
 
 
@@ -302,5 +331,6 @@ def test_run_all_from_files(spark, sf, tables, tmp_path):
     hours = spark.read.parquet(f"{tmp_path}/runs/metrics/run_id=run1/metric=requests_by_hour")
     assert hours.agg(F.sum("n_requests")).first()[0] == len(ids)
     # A later run finds the rules of the earlier one.
-    later = pipeline.metrics(spark, places.requests, f"{tmp_path}/levels", f"{tmp_path}/runs", "run2", ["requests_by_client_type"])
+    with pytest.warns(UserWarning, match="those of run run1 are used"):
+        later = pipeline.metrics(spark, places.requests, f"{tmp_path}/levels", f"{tmp_path}/runs", "run2", ["requests_by_client_type"])
     assert later.first().status == "success" and "no suppression rules" not in later.first().message

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from usagelens.operators.dedupe import dedupe, dedupe_against
-from usagelens.operators.heavy import heavy_keys, staged, surely_light, with_piece
+from usagelens.operators.heavy import heavy_keys, staged, with_piece
 from usagelens.operators.ordered import compaction_stats, gaps, position_in
 from usagelens.operators.quantiles import exact_quantiles, quantile_table
 from usagelens.operators.rhythm import cadence
@@ -91,10 +91,26 @@ def test_pieces_follow_the_order(events):
         assert all(x[2] < y[1] for x, y in zip(spans, spans[1:]))
 
 
-def test_heavy_keys_are_limited_to_the_largest(events):
+def test_every_heavy_key_is_found(spark, events):
     df, _ = events
-    assert [r.key for r in heavy_keys(df, ["key"], 10, limit=1).collect()] == ["hot"]
+    assert {r.key for r in heavy_keys(df, ["key"], 10).collect()} == {"hot", "a", "b", "c", None}
     assert heavy_keys(df, ["key"], 5000) is None
+    many = spark.range(60_000).select((F.col("id") % 3000).alias("key"))
+    assert heavy_keys(many, ["key"], 20).count() == 3000
+
+
+def test_one_key_of_six_million_rows_is_split(spark):
+    df = spark.range(6_000_000).select(F.lit("k").alias("key"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("tie"))
+    cut, split = with_piece(df, "key", "ts")
+    assert split and cut.select("_piece").distinct().count() > 100
+    placed = position_in(df, "key", "ts", "tie")
+    assert placed.where(F.col("position") != F.col("tie") + 1).isEmpty()
+
+
+def test_positions_with_more_hot_keys_than_any_limit(spark):
+    df = spark.range(60_000).select((F.col("id") % 3000).alias("key"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("tie"))
+    placed = position_in(df, "key", "ts", "tie", min_rows=5)
+    assert placed.where(F.col("position") != F.floor(F.col("tie") / 3000) + 1).isEmpty()
 
 
 def percentile(values, q):
@@ -154,13 +170,11 @@ def test_dedupe_keeps_the_first_and_all_without_key(spark):
     assert got.where("k = 'hot'").collect()[0].place == 0
     assert got.where("k is null").count() == 333
     assert got.count() == 333 + 333 + 1
-    against = dedupe_against(got, spark.createDataFrame([("hot",), (None,), ("1",)], "k string"), "k", "place")
+    against = dedupe_against(got, spark.createDataFrame([("hot",), (None,), ("1",)], "k string"), "k")
     assert against.count() == 333 + 332
 
 
-def test_large_intermediates_are_staged_and_small_ones_are_not(spark):
+def test_intermediates_are_staged(spark):
     df = spark.range(100).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
-    assert surely_light(spark.range(10), 10**6) and not surely_light(spark.range(10**6), 100)
-    assert staged(df) is df
-    kept = staged(df, min_rows=1)
+    kept = staged(df)
     assert kept is not df and rows(kept, "k") == rows(df, "k")

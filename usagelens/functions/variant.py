@@ -61,11 +61,14 @@ def to_long(node: Column) -> Column:
     )
 
 
+# A cast to double would also take a trailing type letter, as in 5f or 1d.
+_NUMERIC = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity|nan)$"
+
+
 def to_double(node: Column) -> Column:
-    """Numbers and numeric strings; booleans are not numbers."""
-    return F.when(
-        (kind(node) == "STRING") | is_number(node), F.trim(to_text(node)).try_cast("double")
-    )
+    """Numbers and numeric strings; booleans are not numbers, nor is text with anything beside the number."""
+    text = F.trim(to_text(node))
+    return F.when(is_number(node) | ((kind(node) == "STRING") & text.rlike(_NUMERIC)), text.try_cast("double"))
 
 
 def to_bool(node: Column) -> Column:

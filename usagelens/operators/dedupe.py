@@ -9,30 +9,28 @@ from pyspark.sql import functions as F
 def dedupe(df: DataFrame, key: str, order: str) -> DataFrame:
     """Keep the first row per key in ``order`` (unique per row); rows without a key all stay.
 
-    The first row is an aggregate, so copies are already dropped before the shuffle and a key with
-    any number of copies costs one row per task. Rows without a key are grouped by ``order`` alone.
+    Only keys and order are aggregated; the keys that really repeat are few, and are joined by their size. Rows without a
+    key take no part in it. ``df`` is read twice.
     """
-    columns = df.columns
-    own = F.when(F.col(key).isNull(), F.col(order))
-    return (
-        df.groupBy(F.col(key).alias("_key"), own.alias("_own"))
-        .agg(F.min_by(F.struct(*columns), F.col(order)).alias("_row"))
-        .select("_row.*")
-    )
+    keyed = df.where(F.col(key).isNotNull())
+    firsts = keyed.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
+    again = firsts.where(F.col("_n") > 1).drop("_n")
+    first = F.col("_first").isNull() | (F.col(order) == F.col("_first"))
+    kept = keyed.join(again, F.col(key) == F.col("_key"), "left").where(first).select(*df.columns)
+    return kept.unionByName(df.where(F.col(key).isNull()))
 
 
-def dedupe_against(df: DataFrame, existing: DataFrame, key: str, spread: str) -> DataFrame:
-    """Drop rows whose key is stored already; rows without a key stay.
+def dedupe_against(df: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """Drop rows whose key is stored already; rows without a key stay and take no part in the join.
 
-    ``spread`` is any varied column: it keeps the rows without a key out of one join partition.
+    The stored keys are first cut down to those of the batch, so that the cost follows the batch: they are read, but only
+    what the batch has again is joined with its rows. ``df`` is read three times.
     """
-    salt = F.when(F.col(key).isNull(), F.xxhash64(spread)).otherwise(F.lit(0))
-    stored = existing.select(F.col(key).alias("_k"), F.lit(0).cast("bigint").alias("_s")).where(
-        F.col("_k").isNotNull()
-    )
-    rows = df.withColumn("_salt", salt)
-    match = (F.col(key) == F.col("_k")) & (F.col("_salt") == F.col("_s"))
-    return rows.join(stored, match, "left_anti").drop("_salt")
+    keyed = df.where(F.col(key).isNotNull())
+    fresh = keyed.select(F.col(key).alias("_k")).distinct()
+    hits = existing.select(F.col(key).alias("_k")).join(fresh, "_k", "left_semi").distinct()
+    kept = keyed.join(hits, F.col(key) == F.col("_k"), "left_anti")
+    return kept.unionByName(df.where(F.col(key).isNull()))
 
 
 def replace_rows(existing: DataFrame, fresh: DataFrame, source: str) -> DataFrame:

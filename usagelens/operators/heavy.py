@@ -1,8 +1,7 @@
 """Finding and splitting keys that hold too many rows for one task.
 
-The list of heavy keys is at most ``limit`` long: it is the head of a distributed top-k over
-pre-aggregated counts. A key beyond the list holds less than 1/limit of the rows, and it is still
-processed, just not split, so results never depend on the list.
+Keys are found by counting. The list of heavy keys stays a distributed table in the shared folder and is joined by its
+size, so any number of keys can be heavy.
 """
 
 from __future__ import annotations
@@ -18,51 +17,20 @@ from usagelens import settings
 from usagelens.sources.paths import scratch_dir
 
 PIECE = "_piece"
-# Files hold more rows than their size suggests to the optimizer; this is a generous allowance.
-_COMPRESSION = 50
 
 
-def surely_light(df: DataFrame, min_rows: int) -> bool:
-    """True when the optimizer's size estimate rules out a key with ``min_rows`` rows.
-
-    Saves the counting job on small tables. Estimates of joins are far too high rather than too low.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    size = int(str(plan.stats().sizeInBytes()))
-    width = df._jdf.schema().defaultSize() + 8
-    return size / width * _COMPRESSION < min_rows
-
-
-def staged(df: DataFrame, min_rows: int = settings.HEAVY_ROWS) -> DataFrame:
-    """The rows, kept in the shared folder first unless the table is surely small.
-
-    For the result of a shuffle that several passes are about to read.
-    """
-    if surely_light(df, min_rows):
-        return df
-    folder = scratch_dir(df.sparkSession, "staged")
+def staged(df: DataFrame, name: str = "staged") -> DataFrame:
+    """The rows, written to the shared folder: for a result that several passes are about to read."""
+    folder = scratch_dir(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def heavy_keys(
-    df: DataFrame,
-    keys: Sequence[str],
-    min_rows: int = settings.HEAVY_ROWS,
-    limit: int = settings.HEAVY_KEYS,
-) -> DataFrame | None:
-    """(keys.., _n): the heaviest keys with at least ``min_rows`` rows as a local table, or None.
-
-    Runs one job over the key columns, unless the table is too small to hold such a key.
-    """
-    narrow = df.select(*keys)
-    if surely_light(narrow, min_rows):
-        return None
-    counts = narrow.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows)
-    rows = counts.orderBy(F.desc("_n"), *keys).limit(limit).collect()
-    if not rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, counts.schema)
+def heavy_keys(df: DataFrame, keys: Sequence[str], min_rows: int = settings.HEAVY_ROWS) -> DataFrame | None:
+    """(keys.., _n): all keys with at least ``min_rows`` rows, or None. Runs one counting job over the key columns."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows)
+    found = staged(counts, "heavy")
+    return None if found.isEmpty() else found
 
 
 def same_keys(left: Sequence[Column], right: Sequence[Column]) -> Column:
@@ -71,10 +39,10 @@ def same_keys(left: Sequence[Column], right: Sequence[Column]) -> Column:
 
 
 def rows_of(df: DataFrame, by: Sequence[str], keys: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows whose ``by`` columns are (left_semi) or are not (left_anti) in a small key table."""
+    """Rows whose ``by`` columns are (left_semi) or are not (left_anti) in a key table."""
     renamed = keys.select(*[F.col(b).alias(f"_k_{b}") for b in by])
     match = same_keys([F.col(b) for b in by], [F.col(f"_k_{b}") for b in by])
-    return df.join(F.broadcast(renamed), match, how)
+    return df.join(renamed, match, how)
 
 
 def _number(df: DataFrame, order: str) -> Column:
@@ -87,7 +55,7 @@ def _number(df: DataFrame, order: str) -> Column:
 def _cuts(df: DataFrame, key: str, order: Column, heavy: DataFrame, splits: int) -> DataFrame:
     """Values of the order column that cut every heavy key into about equal pieces.
 
-    Collected, so that every later use of the cuts sees the same ones: limit x splits numbers.
+    Written, so that every later use of the cuts sees the same ones.
     """
     marks = [i / splits for i in range(1, splits)]
     cuts = (
@@ -95,7 +63,7 @@ def _cuts(df: DataFrame, key: str, order: Column, heavy: DataFrame, splits: int)
         .groupBy(key)
         .agg(F.percentile_approx(order, marks, 20 * splits).alias("_cuts"))
     )
-    return df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
+    return staged(cuts, "cuts")
 
 
 def with_piece(
@@ -103,7 +71,6 @@ def with_piece(
     key: str,
     order: str,
     min_rows: int = settings.HEAVY_ROWS,
-    limit: int = settings.HEAVY_KEYS,
     splits: int = settings.HEAVY_SPLITS,
 ) -> tuple[DataFrame, bool]:
     """Add a piece number that never decreases along ``order`` inside a key; tell if any key is cut.
@@ -111,11 +78,11 @@ def with_piece(
     Light keys have the single piece 0. Rows with equal ``order`` share a piece, so a window over
     (key, piece) sees the rows in the right order and a later step over the pieces joins them up.
     """
-    heavy = heavy_keys(df, [key], min_rows, limit)
+    heavy = heavy_keys(df, [key], min_rows)
     if heavy is None:
         return df.withColumn(PIECE, F.lit(0)), False
     number = _number(df, order)
     cuts = _cuts(df, key, number, heavy, splits)
     below = F.size(F.filter("_cuts", lambda c: c < number))
     piece = F.when(F.col("_cuts").isNull(), 0).otherwise(below)
-    return df.join(F.broadcast(cuts), key, "left").withColumn(PIECE, piece).drop("_cuts"), True
+    return df.join(cuts, key, "left").withColumn(PIECE, piece).drop("_cuts"), True

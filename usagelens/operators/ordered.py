@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens import settings
-from usagelens.operators.heavy import PIECE, with_piece
+from usagelens.operators.heavy import PIECE, staged, with_piece
 
 
 def pieces(df: DataFrame, key: str, ts: str, min_rows: int | None) -> tuple[DataFrame, bool]:
@@ -81,8 +81,8 @@ def position_in(
     if not split:
         return placed.drop(PIECE)
     before = Window.partitionBy(key).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per later piece of a heavy key: at most HEAVY_KEYS x HEAVY_SPLITS rows.
-    offsets = (
+    # One row per later piece of a heavy key, written so that a heavy key can be split in the join.
+    offsets = staged(
         rows.groupBy(key, PIECE)
         .agg(F.count("*").alias("_n"))
         .withColumn("_before", F.sum("_n").over(before))
@@ -90,7 +90,7 @@ def position_in(
         .select(key, PIECE, "_before")
     )
     return (
-        placed.join(F.broadcast(offsets), [key, PIECE], "left")
+        placed.join(offsets, [key, PIECE], "left")
         .withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0)))
         .drop(PIECE, "_before")
     )

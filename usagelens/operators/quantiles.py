@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from usagelens import settings
 from usagelens.functions.scalars import round4
-from usagelens.operators.heavy import heavy_keys, rows_of, same_keys
+from usagelens.operators.heavy import heavy_keys, rows_of, same_keys, staged
 
 _ACCURACY = 10_000
 _GROUP = "_group"
@@ -43,12 +43,12 @@ def _with_quantiles(
     listed = heavy.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_n"))
     match = same_keys([F.col(k) for k in keys], [F.col(n) for n in names])
     light = F.percentile(F.when(F.col("_n").isNull(), v), wanted).alias("_light")
-    marked = rows.join(F.broadcast(listed), match, "left")
+    marked = rows.join(listed, match, "left")
     table = marked.groupBy(*keys).agg(*extra, light)
     # Three times the error of the sketch, and two ranks for the interpolation.
     margin = 3 / _ACCURACY + 2 / min_rows
     found = _bracketed(rows.select(*keys, v.alias("_v")), keys, heavy, qs, margin)
-    return table.join(F.broadcast(found), match, "left").select(
+    return table.join(found, match, "left").select(
         *keys, *table.columns[len(keys) : -1], F.coalesce("_heavy", "_light").alias("_q")
     )
 
@@ -56,7 +56,7 @@ def _with_quantiles(
 def _bracketed(
     values: DataFrame, keys: list[str], heavy: DataFrame, qs: Sequence[float], margin: float
 ) -> DataFrame:
-    """(_h_ keys.., _heavy): the quantiles of at most HEAVY_KEYS groups."""
+    """(_h_ keys.., _heavy): the quantiles of the heavy groups."""
     values = values.where(F.col("_v").isNotNull())
     marks = [min(max(q + d, 0.0), 1.0) for q in qs for d in (-margin, margin)]
     sketches = (
@@ -66,8 +66,8 @@ def _bracketed(
             F.count("*").alias("_n"), F.percentile_approx("_v", marks, _ACCURACY).alias("_marks")
         )
     )
-    # Collected, so that every use sees the same brackets: one short row per heavy group.
-    sketches = values.sparkSession.createDataFrame(sketches.collect(), sketches.schema)
+    # Written, so that every use sees the same brackets: one short row per heavy group.
+    sketches = staged(sketches, "sketches")
     names = [f"_h_{k}" for k in keys]
     brackets = sketches.select(
         *[F.col(k).alias(n) for k, n in zip(keys, names)],
@@ -76,9 +76,7 @@ def _bracketed(
     )
     above = F.col("_b.lo").isNull() | (F.col("_v") >= F.col("_b.lo"))
     kept = (
-        values.join(
-            F.broadcast(brackets), same_keys([F.col(k) for k in keys], [F.col(n) for n in names])
-        )
+        values.join(brackets, same_keys([F.col(k) for k in keys], [F.col(n) for n in names]))
         .where(F.col("_b.hi").isNull() | (F.col("_v") <= F.col("_b.hi")))
         .groupBy(*names, "_n", "_i", F.col("_b.q").alias("_p"), F.when(above, F.col("_v")).alias("_v"))
         .agg(F.count("*").alias("_c"))

@@ -27,6 +27,8 @@ def cadence(
     medians = exact_quantiles(
         between, [by], "gap_seconds", (0.5,), min_rows or settings.HEAVY_ROWS
     ).withColumnRenamed("p50", "_median")
+    # Written before the join: joined where it was aggregated, a hot key could not be split.
+    medians = staged(medians, "medians")
     near = F.col("gap_seconds").between(0.5 * F.col("_median"), 2 * F.col("_median"))
     tight = between.join(medians, by).groupBy(by).agg(
         F.max("_median").alias("_median"), share_true(near).alias("_tight")

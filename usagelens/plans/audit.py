@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,25 +12,41 @@ from usagelens import settings
 from usagelens.contract import source_map
 from usagelens.functions.scalars import round4
 from usagelens.functions.variant import kind, to_text
+from usagelens.operators.heavy import staged
 from usagelens.operators.literals import value_rows
+from usagelens.sources.raw import hash_sample, split_bad
 
-MAX_DEPTH = 8
+# Levels that are expanded in one pass; what is deeper goes on from the shared folder.
+LEVELS_AT_ONCE = 8
 
 
-def walk_paths(df: DataFrame, key: str, v: str = "v", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(key, path, kind, is_container, text): every path of every record, as one narrow pass.
+def walk_paths(df: DataFrame, key: str, v: str = "v", levels: int | None = None) -> DataFrame:
+    """(key, path, kind, is_container, text): every path of every record, however deep.
 
     Objects are expanded, lists are leaves, {} is a container without leaves. Each step replaces an
-    object by itself as a container and its entries. Objects below ``max_depth`` are kept as leaves
-    of kind 'object' rather than dropped.
+    object by itself as a container and its entries. Records of up to eight levels take one narrow pass; the entries
+    that are still open then are walked on until none is left. ``levels`` asks for a shallow overview instead: objects
+    below are shown as leaves of kind 'object'.
     """
     rows = df.select(
         F.col(key).alias("key"),
         F.struct(F.lit("").alias("path"), F.col(v).alias("node"), F.lit(True).alias("open")).alias("e"),
     )
-    for _ in range(max_depth):
-        # Never empty; the outer form keeps the optimizer from repeating the step in a filter.
-        rows = rows.select("key", F.explode_outer(_expand(F.col("e"))).alias("e"))
+    found = []
+    while True:
+        for _ in range(levels or LEVELS_AT_ONCE):
+            # Never empty; the outer form keeps the optimizer from repeating the step in a filter.
+            rows = rows.select("key", F.explode_outer(_expand(F.col("e"))).alias("e"))
+        flat = staged(rows.select("key", "e.*"), "paths")
+        if levels:
+            found.append(flat)
+            break
+        found.append(flat.where(~F.col("open")))
+        deeper = flat.where("open")
+        if deeper.isEmpty():
+            break
+        rows = deeper.select("key", F.struct("path", "node", "open").alias("e"))
+    rows = reduce(DataFrame.union, found).select("key", F.struct("path", "node", "open").alias("e"))
     is_container = F.col("e.node").isNull()
     return rows.where(F.col("e.path") != "").select(
         "key",
@@ -194,11 +211,18 @@ def catalogue(stats: DataFrame, declared: DataFrame) -> DataFrame:
     )
 
 
-def run_audit(raw: DataFrame, folder: str, write_all: bool = False) -> None:
-    """Walk the records once into the given folder and write the reports beside the paths."""
-    walk_paths(raw, "source_path").write.mode("overwrite").parquet(f"{folder}/paths")
+def run_audit(raw: DataFrame, folder: str, write_all: bool = False, sample_rate: float = 1.0) -> None:
+    """Walk the records once into the given folder and write the reports beside the paths.
+
+    ``raw`` is as ``read_raw`` gives it. Files that hold no JSON object are left out, of the number of records too, and
+    listed under ``unreadable``. With a ``sample_rate`` below 1 the same part of the files is taken on every run; rare
+    paths can then seem to be missing.
+    """
+    good, bad = split_bad(hash_sample(raw, "source_path", sample_rate))
+    bad.write.mode("overwrite").parquet(f"{folder}/unreadable")
+    walk_paths(good, "source_path").write.mode("overwrite").parquet(f"{folder}/paths")
     paths = raw.sparkSession.read.parquet(f"{folder}/paths")
-    n_records = raw.select("source_path").count()
+    n_records = good.select("source_path").count()
     stats = path_stats(paths, F.lit(n_records))
     declared = declared_paths(raw)
     unmapped(stats, declared).write.mode("overwrite").parquet(f"{folder}/unmapped_fields")

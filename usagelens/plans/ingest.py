@@ -28,22 +28,20 @@ class Places:
     quarantine: str
 
 
-def _stage(
-    spark: SparkSession, places: Places, files: DataFrame, pending: DataFrame, n_pending: int,
-    at: datetime.datetime, tz: str,
-):
+def _stage(spark: SparkSession, places: Places, manifest: DataFrame, pending: DataFrame, at: datetime.datetime, tz: str):
     """Parse the pending files once and park the typed rows, good and bad, in the shared folder.
 
-    Files that are no older than the oldest pending one are read. If that includes others they are
-    dropped after flattening, when only the narrow typed rows have to meet the list of names.
+    Whatever is newer than all recorded files is pending, so a bound on the time is enough to list it. Pending files from
+    before that are late, were touched or could not be read last time; they are opened by name. No other file is opened.
     """
-    bound = R.oldest_bound(pending)
+    bound = R.after_newest(manifest)
     keep = ("file_mtime", "file_size", "_error")
-    records = R.with_error(R.read_raw(spark, places.raw, bound))
-    rows = flatten(records, F.lit(at), tz=tz, keep=keep)
-    n_read = files.where(F.col("file_mtime") > F.lit(bound).cast("timestamp")).count()
-    if n_read != n_pending:
-        rows = rows.join(pending.select("source_path"), "source_path", "left_semi")
+    records = R.read_raw(spark, places.raw, bound)
+    if bound is not None:
+        late = pending.where(F.col("file_mtime") <= F.lit(bound).cast("timestamp")).select("source_path").collect()
+        if late:
+            records = records.union(R.read_raw(spark, places.raw, only=[r.source_path for r in late]))
+    rows = flatten(R.with_error(records), F.lit(at), tz=tz, keep=keep)
     folder = scratch_dir(spark, "ingest")
     rows.write.parquet(folder)
     return folder, spark.read.parquet(folder)
@@ -71,7 +69,7 @@ def ingest(
     if n_pending == 0:
         return _report(spark, scanned=n_files, skipped=n_files)
 
-    folder, staged = _stage(spark, places, files, pending, n_pending, at, tz)
+    folder, staged = _stage(spark, places, manifest, pending, at, tz)
     good = staged.where(F.col("_error").isNull())
     outcome = staged.agg(
         F.count_if(F.col("_error").isNull()).alias("processed"),
@@ -87,7 +85,7 @@ def ingest(
     rows = dedupe(good.select(*REQUEST_SCHEMA.names), "request_id", "source_path")
     if exists(spark, places.requests):
         stored = spark.read.schema(REQUEST_SCHEMA).parquet(places.requests).select("request_id")
-        rows = dedupe_against(rows, stored, "request_id", "source_path")
+        rows = dedupe_against(rows, stored, "request_id")
     ready = scratch_dir(spark, "ready")
     rows.write.parquet(ready)
     rows = spark.read.schema(REQUEST_SCHEMA).parquet(ready)

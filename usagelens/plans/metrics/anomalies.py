@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from usagelens import settings
 from usagelens.functions.scalars import is_error, percent1, share
 from usagelens.operators.counts import top1_share
+from usagelens.operators.heavy import staged
 from usagelens.operators.rhythm import cadence
 from usagelens.plans.metrics.model import MetricResult, Tables
 
@@ -97,16 +98,24 @@ def _tops(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     )
 
 
+_USED = (
+    "request_id", "username", "error_code", "model_family", "hour_local", "ts_utc", "endpoint", "status_code", "user_agent",
+    "date_local", "prompt_len", "client_type",
+)
+
+
 def anomaly_facts(requests: DataFrame, users: DataFrame) -> DataFrame:
     """One row per owned slice with every number its description uses; the owner is left out.
 
     All slices go through the same aggregates together. ``same_owner_as`` is the place of an
     earlier listed row with the same owner.
     """
+    requests = requests.select(*_USED)
     slices = sliced(requests)
-    owner = owners(slices)
-    mine = _owned(slices, owner, [_BY, "username"])
-    whole = _owned(requests, owner, ["username"])
+    # What owners sent is written once; every part below reads that, not the requests.
+    owner = staged(owners(slices), "owners")
+    mine = staged(_owned(slices, owner, [_BY, "username"]), "mine")
+    whole = staged(_owned(requests, owner, ["username"]), "whole")
     names = anomaly_names()
     failed = is_error(F.col("status_code"), settings.ERROR_STATUS_FLOOR)
     chat = F.col("endpoint") == "/v1/chat/completions"

@@ -278,7 +278,7 @@ def model_consistency(t: Tables) -> MetricResult:
         F.regexp_replace(response, MODEL_DATE_SUFFIX, "").alias("_response"),
     )
     keys = base.columns
-    base = base.groupBy(*keys).agg(F.count("*").alias("_n"))
+    base = staged(base.groupBy(*keys).agg(F.count("*").alias("_n")), "base")
     both = F.col("_has_returned") & F.col("_has_response")
     same = F.col("_returned") == F.col("_response")
 

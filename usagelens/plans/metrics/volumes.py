@@ -10,6 +10,7 @@ from usagelens.functions.aggregates import join_unique
 from usagelens.functions.scalars import is_error, null_label, shape_key, split_csv
 from usagelens.functions.times import weekday_note
 from usagelens.operators.counts import group_users, with_share, with_share_exact, with_watched
+from usagelens.operators.heavy import staged
 from usagelens.plans.metrics.model import MetricResult, MetricSpec, Tables, counters
 
 _SHAPE = ("text_format_name", "message_count", "user_message_count", "assistant_message_count")
@@ -193,7 +194,7 @@ def requests_by_hour(t: Tables) -> MetricResult:
 def status_and_errors(t: Tables) -> MetricResult:
     """Everything is read off one pre-aggregate per (status, error code, user)."""
     requests = t["request"]
-    base = requests.groupBy("status_code", "error_code", "username").agg(F.count("*").alias("_n"))
+    base = staged(requests.groupBy("status_code", "error_code", "username").agg(F.count("*").alias("_n")), "base")
     status = F.col("status_code")
     failed = is_error(status, settings.ERROR_STATUS_FLOOR)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 
 from usagelens import settings
@@ -44,10 +46,20 @@ def aggregate(
 
 
 def metrics(
-    spark: SparkSession, requests_dir: str, levels_dir: str, runs_dir: str, run_id: str, only=None
+    spark: SparkSession, requests_dir: str, levels_dir: str, runs_dir: str, run_id: str, only=None, without_rules: bool = False
 ) -> DataFrame:
-    """Run the metrics over the stored tables with the newest rules, and keep the summary."""
-    rules = T.latest_snapshot(T.read_runs(spark, f"{runs_dir}/concentration"), run_id)
+    """Run the metrics over the stored tables with the newest rules up to this run, and keep the summary.
+
+    Rules of an older run are used with a warning. Without any rules nothing would be hidden, so that is an error unless
+    it is asked for by ``without_rules``.
+    """
+    runs = T.read_runs(spark, f"{runs_dir}/concentration")
+    newest = T.snapshot_id(runs, run_id)
+    if newest is None and not without_rules:
+        raise ValueError(f"there are no suppression rules up to run {run_id}: aggregate first, or ask to run without rules")
+    if newest is not None and newest != run_id:
+        warnings.warn(f"run {run_id} has no suppression rules of its own: those of run {newest} are used", stacklevel=2)
+    rules = T.latest_snapshot(runs, run_id)
     stored = T.read_levels(spark, requests_dir, levels_dir)
     summary = run_metrics(stored, rules, f"{runs_dir}/metrics", run_id, only)
     T.write_run(summary, f"{runs_dir}/metrics_summary", run_id)

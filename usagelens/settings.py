@@ -50,7 +50,5 @@ MAX_SAMPLES = 5
 
 # Skew handling. A key with fewer rows than this is left to one task; above it the key is split.
 HEAVY_ROWS = 2_000_000
-# Only the largest keys are listed on the driver, so a key left out holds under 1/1024 of the rows.
-HEAVY_KEYS = 1024
 # Pieces a heavy key is cut into along its ordering column.
 HEAVY_SPLITS = 256

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.sources.paths import file_system
 
 _JSON = "*.json"
+# Signs that a path pattern would interpret.
+_GLOB_SIGN, _ESCAPED = re.compile(r"([\[\]{}*?\\])"), r"\\\1"
 
 
 def source_path(root_path: str, file_path: Column | str = "_metadata.file_path") -> Column:
@@ -37,32 +42,44 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def oldest_bound(files: DataFrame) -> str | None:
-    """A time just before the oldest file, in whole seconds of the session's zone.
+def after_newest(manifest: DataFrame) -> str | None:
+    """The first whole second after every file of the manifest, in the session's zone; None if it has no file.
 
     The listing filter takes no fractions and excludes the bound itself.
     """
-    second = F.date_trunc("second", F.min("file_mtime")) - F.expr("interval 1 second")
-    return files.agg(F.date_format(second, "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
+    second = F.date_trunc("second", F.max("file_mtime")) + F.expr("interval 1 second")
+    return manifest.agg(F.date_format(second, "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
+
+
+# Strings of any length that a VARIANT holds, and NaN, are read.
+_PARSE = {"maxStringLen": str(2**31 - 1), "allowNonNumericNumbers": "true"}
+
+
+def parse(text: Column | str) -> Column:
+    """A document as VARIANT, null where the text is not JSON."""
+    return F.from_json(text, "variant", _PARSE)
 
 
-def read_raw(spark: SparkSession, root: str, modified_after: str | None = None) -> DataFrame:
+def read_raw(spark: SparkSession, root: str, modified_after: str | None = None, only: Sequence[str] | None = None) -> DataFrame:
     """(source_path, file_mtime, file_size, text, v): every raw file as one parsed record.
 
-    Files up to ``modified_after`` are skipped while listing and never opened. ``v`` is null where
-    the text is not JSON.
+    Files up to ``modified_after`` are skipped while listing and never opened; with ``only``, just the files of these
+    source paths are listed and opened. ``v`` is null where the text is not JSON. Of a key that an object repeats, the last
+    value counts; for this the session setting for repeated keys is switched on.
     """
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _JSON)
     if modified_after is not None:
         reader = reader.option("modifiedAfter", modified_after)
+    places = root if only is None else [f"{root.rstrip('/')}/{_GLOB_SIGN.sub(_ESCAPED, p)}" for p in only]
     # wholetext has to be an argument: as an option the argument's default overrides it.
-    files = reader.text(root, wholetext=True)
+    files = reader.text(places, wholetext=True)
     return files.select(
         source_path(_root(spark, root)).alias("source_path"),
         F.col("_metadata.file_modification_time").alias("file_mtime"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("value").alias("text"),
-        F.try_parse_json("value").alias("v"),
+        parse("value").alias("v"),
     )
 
 

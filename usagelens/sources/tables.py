@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from usagelens.contract import PARTITION_COLUMN, REQUEST_SCHEMA
 from usagelens.functions.scalars import percent1
 from usagelens.operators.counts import latest_by
-from usagelens.sources.paths import delete, exists, scratch_dir
+from usagelens.sources.paths import delete, delete_folder_of, exists, scratch_dir
 
 REGISTRY_SCHEMA = (
     "username string, account_type string, account_masked string, degree string, entry_year string, "
@@ -62,8 +63,10 @@ def replace_by_source(
     again = paths.select(source).distinct()
     table = spark.read.parquet(folder)
     table = table.withColumn(column, F.col(column).cast("string"))
-    # One small row per partition value, never per file.
-    touched = table.join(again, source, "left_semi").groupBy(column).count().collect()
+    # One small row per partition value, never per file. A file tells the partition's folder as it is really named.
+    placed = table.select(source, column, F.col("_metadata.file_path").alias("_file"))
+    hit = placed.join(again, source, "left_semi").groupBy(column)
+    touched = hit.agg(F.count("*").alias("count"), F.max("_file").alias("file")).collect()
     if not touched:
         return 0
     values = [r[column] for r in touched]
@@ -75,9 +78,9 @@ def replace_by_source(
     survivors = spark.read.schema(table.schema).parquet(staging)
     left = {r[column] for r in survivors.select(column).distinct().collect()}
     write_partitioned(survivors, folder, column, "overwrite")
-    for value in values:
-        if value not in left:
-            delete(spark, f"{folder}/{column}={value or '__HIVE_DEFAULT_PARTITION__'}")
+    for r in touched:
+        if r[column] not in left:
+            delete_folder_of(spark, r["file"])
     delete(spark, staging)
     return sum(r["count"] for r in touched)
 
@@ -117,8 +120,10 @@ def write_run(df: DataFrame, folder: str, run_id: str) -> None:
 
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
-    runs = spark.read.parquet(folder)
-    return runs.withColumn("run_id", F.col("run_id").cast("string"))
+    """All runs kept in a folder. Run ids are text, whatever they look like: 007 is not 7, and 1.10 is not 1.1."""
+    found = spark.read.parquet(folder).schema
+    typed = T.StructType([T.StructField(f.name, T.StringType() if f.name == "run_id" else f.dataType) for f in found])
+    return spark.read.schema(typed).parquet(folder)
 
 
 def latest_snapshot(runs: DataFrame, run_id: str, column: str = "run_id") -> DataFrame:
@@ -127,6 +132,11 @@ def latest_snapshot(runs: DataFrame, run_id: str, column: str = "run_id") -> Dat
     return runs.where(F.col(column) == newest)
 
 
+def snapshot_id(runs: DataFrame, run_id: str, column: str = "run_id") -> str | None:
+    """Which run ``latest_snapshot`` takes; None if there is none up to this one."""
+    return runs.where(F.col(column) <= run_id).agg(F.max(column)).first()[0]
+
+
 def latest_per_metric(summaries: DataFrame) -> DataFrame:
     """The newest summary row of each metric: a run may have covered only some of them."""
     return latest_by(summaries, "name", "run_id")
