@@ -77,7 +77,7 @@ def test_contract_on_awkward_rows(spark, tmp_path):
     for i, c in enumerate(classes(prints, 2)):
         groups.setdefault(c, []).append(AWKWARD[i][0])
     want = [(str(d), min((x for x in groups[c] if x is not None), default=None)) for (d, *_), c in zip(AWKWARD, classes(prints, 2))]
-    assert sorted((str(r.doc_id), r.component_id) for r in got) == sorted(want)
+    assert sorted(map(str, ((str(r.doc_id), r.component_id) for r in got))) == sorted(map(str, want))
     assert sorted(r.bits[0] % (1 << 64) for r in got) == sorted(prints)
 
 
