@@ -113,7 +113,24 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
-@query("op4_substring_dedup")
+_SUBSTRING_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+windows as (
+  select doc_id, i, array_to_string(words[i:i + 34], ' ') as span
+  from (select doc_id, words, unnest(range(1, len(words) - 33)) as i from w where len(words) >= 35)),
+repeated as (select doc_id, i from (select doc_id, i, count(*) over (partition by span) as times from windows) where times > 1),
+covered as (select distinct doc_id, unnest(range(i, i + 35)) as j from repeated),
+places as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as j from w),
+kept as (
+  select doc_id, count(*) as n, string_agg(word, ' ' order by j) as text
+  from places anti join covered using (doc_id, j) group by doc_id)
+select w.doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(n, 0) as bigint) as n_removed,
+  sha256(coalesce(kept.text, '')) as kept_sha256
+from w left join kept using (doc_id)
+"""
+
+
+@query("op4_substring_dedup", _SUBSTRING_SQL)
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substring_dedup(documents(spark, sf_dir))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
