@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import usagelens
 from usagelens.sources.paths import delete, scratch_dir
 
 #: White space is these six characters and no others, in every operator.
@@ -16,6 +18,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROW = "_row"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver has it, whatever folder the driver was started in.
+
+    Executors on other machines need it installed, or sent along with --py-files.
+    """
+    root = str(Path(usagelens.__file__).resolve().parents[1])
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
