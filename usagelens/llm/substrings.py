@@ -16,7 +16,7 @@ WINDOW_WORDS = 35
 #: Words of an anchor; a window's anchor is the one with the least hash in it, the first of equal ones.
 ANCHOR_WORDS = 8
 #: Reference pieces in a shard, on average; an anchor with more different pieces than ANCHOR_PIECES is counted by window.
-SHARD_PIECES = 2_000
+SHARD_PIECES = 500
 ANCHOR_PIECES = 500
 #: Window starts that are searched together: bounds the memory of very long texts.
 _CHUNK = 1 << 16
@@ -215,7 +215,9 @@ def _by_window(pieces: DataFrame, window: int) -> DataFrame:
                 one, two = (_signed(Spans(x).hash(at, at + window)) for x in (hashes, _mix(hashes)))
                 yield pd.DataFrame({"h": h, "content": content, "times": times, "at": at.astype(np.int32), "one": one, "two": two})
 
-    windows = pieces.mapInPandas(run, "h bigint, content bigint, times bigint, at int, one bigint, two bigint")
+    # Pieces lie unevenly in their files, and each makes many windows.
+    spread = pieces.repartition("h", "content")
+    windows = spread.mapInPandas(run, "h bigint, content bigint, times bigint, at int, one bigint, two bigint")
     again = windows.groupBy("one", "two").agg(F.sum("times").alias("all_times")).filter("all_times > 1")
     found = windows.join(again, ["one", "two"]).groupBy("h", "content").agg(F.sort_array(F.collect_list("at")).alias("starts"))
     return found.select("h", "content", F.transform("starts", lambda s: F.struct(s.alias("first"), s.alias("last"))).alias("runs"))
