@@ -12,6 +12,7 @@ from catalog.views import level_tables, requests, sql, table
 from usagelens.contract import REQUEST_SCHEMA
 from usagelens.functions.variant import json_get
 from usagelens.operators.dedupe import dedupe, dedupe_against, replace_rows
+from usagelens.operators.heavy import staged
 from usagelens.plans.ingest import ingest_summary
 from usagelens.plans.metrics.runner import run_metrics
 from usagelens.plans.overview import overview
@@ -273,9 +274,9 @@ select count(*) processed, cast(0 as bigint) failed, count(*) "rows", count(dist
 def report(spark, sf):
     """Flatten all documents, drop repeated ids and report the batch."""
     checked = R.with_error(as_documents(spark, sf))
-    staged = flatten(checked, F.lit(None).cast("timestamp"), keep=("_error",))
-    kept = dedupe(staged.select(*REQUEST_SCHEMA.names), "request_id", "source_path")
-    return ingest_summary(staged, kept)
+    rows = staged(flatten(checked, F.lit(None).cast("timestamp"), keep=("_error",)))
+    kept = dedupe(rows.select(*REQUEST_SCHEMA.names), "request_id", "source_path")
+    return ingest_summary(rows, kept)
 
 
 @query("a19_overview", sql("""

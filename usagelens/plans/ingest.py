@@ -71,10 +71,6 @@ def ingest(
 
     folder, staged = _stage(spark, places, manifest, pending, at, tz)
     good = staged.where(F.col("_error").isNull())
-    outcome = staged.agg(
-        F.count_if(F.col("_error").isNull()).alias("processed"),
-        F.count_if(F.col("_error").isNotNull()).alias("failed"),
-    ).first()
     T.write_run(R.quarantined(staged), places.quarantine, run_id)
 
     entries = M.manifest_entries(good)
@@ -89,31 +85,14 @@ def ingest(
     ready = scratch_dir(spark, "ready")
     rows.write.parquet(ready)
     rows = spark.read.schema(REQUEST_SCHEMA).parquet(ready)
-    facts = rows.agg(
-        F.count("*").alias("rows"),
-        F.count_distinct(F.coalesce("date_local", F.lit(""))).alias("partitions"),
-        F.min("ts_local").cast("string").alias("ts_min"),
-        F.max("ts_local").cast("string").alias("ts_max"),
-    ).first()
-    if facts.rows:
+    summary = ingest_summary(staged, rows)
+    facts = summary.withColumns({c: F.col(c).cast("string") for c in ("ts_min", "ts_max")}).first().asDict()
+    if facts["rows"]:
         T.write_requests(rows, places.requests)
     M.write_manifest(M.upsert_manifest(manifest, entries), places.manifest)
     for scratch in (folder, ready):
         delete(spark, scratch)
-    return _report(
-        spark,
-        scanned=n_files,
-        processed=outcome.processed,
-        skipped=n_files - n_pending,
-        failed=outcome.failed,
-        rows=facts.rows,
-        partitions=facts.partitions,
-        reprocessed=n_again,
-        replaced_rows=replaced,
-        duplicates=outcome.processed - facts.rows,
-        ts_min=facts.ts_min,
-        ts_max=facts.ts_max,
-    )
+    return _report(spark, scanned=n_files, skipped=n_files - n_pending, reprocessed=n_again, replaced_rows=replaced, **facts)
 
 
 _COUNTS = (
@@ -135,7 +114,7 @@ def ingest_summary(staged: DataFrame, kept: DataFrame) -> DataFrame:
     )
     out = kept.agg(
         F.count("*").alias("rows"),
-        F.count_distinct("date_local").alias("partitions"),
+        F.count_distinct(F.coalesce("date_local", F.lit(""))).alias("partitions"),
         F.min("ts_local").alias("ts_min"),
         F.max("ts_local").alias("ts_max"),
     )
