@@ -7,13 +7,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usagelens.llm.common import ROW, Stored, numbered
-from usagelens.llm.tokens import ID_TYPE, encoder, in_slices
+from usagelens.llm.tokens import ID_TYPE, batch_slices, encoder
 
 CAPACITY = 1024
 END_ID = 0
@@ -90,6 +90,15 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> lis
     return plan
 
 
+_PIECE_FIELDS = [
+    ("start", pa.int64()),
+    ("length", pa.int32()),
+    ("doc_tokens", pa.int64()),
+    ("ids", pa.binary()),
+    ("ids_crc32", pa.int64()),
+]
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """Texts as pieces of at most ``capacity`` ids: full windows from the start on, then what is left.
 
@@ -99,20 +108,20 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     schema = f"{ROW} bigint, doc_id {kind}, start bigint, length int, doc_tokens bigint, ids binary, ids_crc32 bigint"
     end = np.array([end_id], ID_TYPE)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         for batch in batches:
-            texts, rows, doc_ids = batch["text"].tolist(), batch[ROW].tolist(), batch["doc_id"].astype(object).tolist()
-            for lo, hi in in_slices(texts):
+            out_schema = pa.schema([(ROW, pa.int64()), ("doc_id", batch.schema.field("doc_id").type), *_PIECE_FIELDS])
+            for part in batch_slices(batch):
                 out = []
-                for i, ids in enumerate(encode(texts[lo:hi]), lo):
+                for row, doc_id, ids in zip(part[ROW], part["doc_id"], encode(part["text"])):
                     ids = np.concatenate([ids, end])
                     for start in range(0, len(ids), capacity):
                         data = ids[start : start + capacity].tobytes()
-                        out.append((rows[i], doc_ids[i], start, len(data) // 4, len(ids), data if with_ids else None, zlib.crc32(data)))
-                yield pd.DataFrame(out, columns=[ROW, "doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32"])
+                        out.append((row, doc_id, start, len(data) // 4, len(ids), data if with_ids else None, zlib.crc32(data)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), out_schema)], schema=out_schema)
 
-    return numbered(docs, "doc_id", "text").mapInPandas(run, schema)
+    return numbered(docs, "doc_id", "text").mapInArrow(run, schema)
 
 
 _PLAN = T.StructType(

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagelens.llm.common import Stored
-from usagelens.llm.tokens import ID_TYPE, encoder, in_slices
+from usagelens.llm.tokens import ID_TYPE, batch_slices, encoder
 from usagelens.sources.paths import scratch_dir
 
 END_ID = 2
@@ -63,28 +64,32 @@ def _token_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int)
     kind = dict(docs.dtypes)["doc_id"]
     end = np.array([end_id], ID_TYPE)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        ids_of, docs_of, size, before, chunk = [], [], 0, 0, None
+        ids_of, docs_of, size, before, chunk, out_schema = [], [], 0, 0, None, None
 
-        def block() -> pd.DataFrame:
-            lengths = [len(x) for x in ids_of]
-            return pd.DataFrame({"chunk": [chunk], "before": [before], "doc_ids": [docs_of], "lengths": [lengths], "ids": [np.concatenate(ids_of).tobytes()]})
+        def block() -> pa.RecordBatch:
+            values = [chunk, before, docs_of, [len(x) for x in ids_of], np.concatenate(ids_of).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, out_schema)], schema=out_schema)
 
         for batch in batches:
-            texts, doc_ids, chunk = batch["text"].tolist(), batch["doc_id"].astype(object).tolist(), batch["chunk"].iloc[0]
-            for lo, hi in in_slices(texts):
-                for i, ids in enumerate(encode(texts[lo:hi]), lo):
+            out_schema = pa.schema([
+                ("chunk", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(batch.schema.field("doc_id").type)),
+                ("lengths", pa.list_(pa.int32())), ("ids", pa.binary()),
+            ])
+            for part in batch_slices(batch):
+                chunk = part["chunk"][0]
+                for doc_id, ids in zip(part["doc_id"], encode(part["text"])):
                     if size and size + len(ids) >= block_ids:
                         yield block()
                         before, ids_of, docs_of, size = before + size, [], [], 0
                     ids_of.append(np.concatenate([ids, end]))
-                    docs_of.append(None if pd.isna(doc_ids[i]) else doc_ids[i])
+                    docs_of.append(doc_id)
                     size += len(ids) + 1
         if size:
             yield block()
 
-    return ordered.mapInPandas(run, f"chunk int, before bigint, doc_ids array<{kind}>, lengths array<int>, ids binary")
+    return ordered.mapInArrow(run, f"chunk int, before bigint, doc_ids array<{kind}>, lengths array<int>, ids binary")
 
 
 def frequency_ranks(blocks: DataFrame) -> np.ndarray:

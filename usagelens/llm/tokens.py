@@ -6,16 +6,17 @@ import codecs
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct pieces whose ids a worker remembers; when there are more, it starts anew.
-REMEMBERED = 800_000
+#: Distinct pieces whose ids a worker remembers; when there are more, it forgets those it met in one slice only.
+REMEMBERED = 500_000
 #: Pieces that are encoded together, and characters that are split together.
 _TOGETHER = 10_000
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 1_000_000
 ID_TYPE = "<u4"
 #: A byte that UTF-8 does not use.
 _MARK = b"\xff"
@@ -29,6 +30,7 @@ _BYTE_LEVEL = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[
 _WORD_LEVEL = f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _BETWEEN = range(5)
+_EDGE = np.array([_BETWEEN], np.uint8)
 
 
 def _class_table() -> np.ndarray:
@@ -70,12 +72,25 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
+        #: Pieces in the order in which they were learned; where their ids lie, and in how many slices they occurred.
         self._known: dict[bytes, int] = {}
         self._flat = np.zeros(1 << 16, ID_TYPE)
         self._first = np.zeros(1 << 14, np.int64)
         self._count = np.zeros(1 << 14, np.int64)
+        self._slices = np.zeros(1 << 14, np.int64)
         self._used = 0
 
+    def _forget_rare(self) -> None:
+        """Keep what occurred in several slices, if that is at most half of what is remembered; else start anew."""
+        n = len(self._known)
+        often = self._slices[:n] > 1
+        pieces, first, count, flat = list(compress(self._known, often)), self._first[:n][often], self._count[:n][often], self._flat
+        self._forget()
+        if len(pieces) <= REMEMBERED // 2:
+            upto = np.cumsum(count)
+            places = np.arange(upto[-1] if len(upto) else 0) + np.repeat(first - (upto - count), count)
+            self._remember(pieces, flat[places], count)
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, ID_TYPE)
 
@@ -86,6 +101,7 @@ class Encoder:
         while n + m > len(self._first):
             self._first = np.concatenate([self._first, np.zeros_like(self._first)])
             self._count = np.concatenate([self._count, np.zeros_like(self._count)])
+            self._slices = np.concatenate([self._slices, np.zeros_like(self._slices)])
         self._flat[self._used : self._used + len(ids)] = ids
         self._first[n : n + m] = self._used + np.cumsum(counts) - counts
         self._count[n : n + m] = counts
@@ -104,13 +120,13 @@ class Encoder:
 
     def _bounds(self, data: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and end of each piece of texts that lie in ``data`` with one character of kind _BETWEEN after each."""
-        before = np.concatenate([[_BETWEEN], kind[:-1]])
+        before = np.concatenate([_EDGE, kind[:-1]])
         changes = kind != before
         if self._by_word:
             starts = changes | (kind == _DIGIT)
             wanted = (kind != _SPACE) & (kind != _BETWEEN)
         else:
-            after = np.concatenate([kind[1:], [_BETWEEN]])
+            after = np.concatenate([kind[1:], _EDGE])
             is_space = kind == _SPACE
             # Of white space before a word, the last character stands alone, or with the word if it is a blank.
             last = is_space & (after != _SPACE) & (after != _BETWEEN)
@@ -168,11 +184,13 @@ class Encoder:
         new = [p for p, code in zip(distinct, known) if code is None]
         if new:
             if len(self._known) + len(new) > REMEMBERED:
-                self._forget()
-                new = distinct
+                self._forget_rare()
+                new = [p for p in distinct if p not in self._known]
             self._learn(new)
-            known = list(map(self._known.get, distinct))
-        codes = np.array(known, np.int64)[coded.indices.to_numpy()]
+            known = list(map(self._known.__getitem__, distinct))
+        known = np.array(known, np.int64)
+        self._slices[known] += 1
+        codes = known[coded.indices.to_numpy()]
         counts = self._count[codes]
         upto = np.cumsum(counts)
         places = np.arange(upto[-1] if len(upto) else 0) + np.repeat(self._first[codes] - (upto - counts), counts)
@@ -193,11 +211,22 @@ def encoder(path: str) -> Encoder:
 
 def in_slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """(from, to) of consecutive texts with about so many characters together: bounds the memory of a step."""
+    return _cut_by_size([len(t or "") for t in texts], chars)
+
+
+def _cut_by_size(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     lo, total = 0, 0
-    for i, t in enumerate(texts):
-        total += len(t or "")
-        if total >= chars:
+    for i, size in enumerate(sizes):
+        total += size
+        if total >= most:
             yield lo, i + 1
             lo, total = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def batch_slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[dict[str, list]]:
+    """The columns of a batch as lists, cut so that no more than a slice of text is in Python at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    for lo, hi in _cut_by_size(sizes, SLICE_CHARS):
+        yield batch.slice(lo, hi - lo).to_pydict()
