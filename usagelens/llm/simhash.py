@@ -94,22 +94,29 @@ def near_links(nodes: DataFrame, words: int, segment_bits: int, ball: int, max_d
     instead of all members. The work then stays linear in buckets that a large group of copies fills, where links between
     all pairs would add nothing to the group. None: all members.
     """
-    at = nodes.select("node", F.explode(_segments(F.col("bits"), words, segment_bits)).alias("key"))
+    head = F.col("bits")[0]
+    at = nodes.select("node", head.alias("head"), F.explode(_segments(F.col("bits"), words, segment_bits)).alias("key"))
     raised = F.transform(
         F.filter(F.sequence(F.lit(0), F.lit(segment_bits - 1)), lambda i: F.expr("key").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) == 0),
         lambda i: F.expr("key").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)),
     )
     values = F.concat(F.array("key"), raised) if ball else F.array("key")
-    probes = at.select(F.col("node").alias("a"), F.explode(values).alias("key"))
+    probes = at.select(F.col("node").alias("a"), F.col("head").alias("head_a"), F.explode(values).alias("key"))
     if matches is None:
-        table = at.select(F.col("node").alias("b"), "key")
+        table = at.select(F.col("key").alias("key_b"), F.struct("node", "head").alias("b"))
     else:
-        orders = [F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node"))["node"] for k in range(matches)]
-        table = at.groupBy("key").agg(F.array_distinct(F.array(*orders)).alias("nodes"), F.count("*").alias("n"))
-    met = probes.join(table, "key")
-    if matches is not None:
-        met = met.select("a", F.explode("nodes").alias("b"))
-    pairs = met.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        orders = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), F.struct("node", "head").alias("b")))["b"] for k in range(matches)]
+        table = at.groupBy(F.col("key").alias("key_b")).agg(F.array_distinct(F.array(*orders)).alias("found"))
+        table = table.select("key_b", F.explode("found").alias("b"))
+    # The first word decides most: it is the whole fingerprint, or its distance is bounded well above the expected one, so
+    # that chance meetings in a bucket end inside the join.
+    p = max_distance / (64 * words)
+    bound = max_distance if words == 1 else int(64 * p + 2.5 * np.sqrt(64 * p * (1 - p)))
+    near = F.bit_count(F.col("head_a").bitwiseXOR(F.col("b.head"))) <= bound
+    met = probes.join(table, (F.col("key") == F.col("key_b")) & (F.col("a") != F.col("b.node")) & near)
+    pairs = met.select(F.least("a", "b.node").alias("a"), F.greatest("a", "b.node").alias("b")).distinct()
+    if words == 1:
+        return pairs
     left = nodes.select(F.col("node").alias("a"), F.col("bits").alias("bits_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("bits").alias("bits_b"))
     differing = (F.bit_count(F.col("bits_a")[w].bitwiseXOR(F.col("bits_b")[w])) for w in range(words))
@@ -124,7 +131,7 @@ def near_groups(
     segment_bits: int = 24,
     ball: int = 1,
     max_distance: int | None = None,
-    matches: int | None = 4,
+    matches: int | None = 2,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ..) with its fingerprint and its class of near duplicates.
 
