@@ -13,10 +13,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces whose ids a worker remembers; when there are more, it forgets those it met in one slice only.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Pieces that are encoded together, and characters that are split together.
 _TOGETHER = 10_000
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 600_000
 ID_TYPE = "<u4"
 #: A byte that UTF-8 does not use.
 _MARK = b"\xff"
