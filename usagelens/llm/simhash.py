@@ -13,11 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.llm.common import ROW, Stored, components, numbered
+from usagelens.llm.similar import SHINGLE_WORDS, SIMILARITY
 
 HASH_SEED = 42
-#: A near duplicate of the corpus pipeline: shingles of five words, similarity of 0.8 or more.
-SHINGLE_WORDS = 5
-SIMILARITY = 0.8
 #: Bits that are counted at a time: bounds the memory of very long texts.
 _CHUNK_BITS = 1 << 22
 _STEP = 0x9E3779B97F4A7C15
@@ -82,17 +80,13 @@ def _segments(bits: Column, words: int, segment_bits: int) -> Column:
     return F.array(*parts)
 
 
-def near_links(nodes: DataFrame, words: int, segment_bits: int, ball: int, max_distance: int, matches: int | None = None) -> DataFrame:
+def near_links(nodes: DataFrame, words: int, segment_bits: int, ball: int, max_distance: int) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (node, bits; bits are distinct) that differ in at most ``max_distance`` bits.
 
     Multi-index hashing: every fingerprint is stored under each of its segments, and looks up, for each segment, the
     values within ``ball`` (0 or 1) bits; complete distances of what it meets are then verified. Of two values that differ
     in one bit, one has it zero, so it is enough to look up the values with one more bit set. All links are found if
     ``max_distance`` is under (ball + 1) * number of segments.
-
-    ``matches``: each bucket answers with so many representatives, each the least of its members in another random order,
-    instead of all members. The work then stays linear in buckets that a large group of copies fills, where links between
-    all pairs would add nothing to the group. None: all members.
     """
     head = F.col("bits")[0]
     at = nodes.select("node", head.alias("head"), F.explode(_segments(F.col("bits"), words, segment_bits)).alias("key"))
@@ -102,17 +96,9 @@ def near_links(nodes: DataFrame, words: int, segment_bits: int, ball: int, max_d
     )
     values = F.concat(F.array("key"), raised) if ball else F.array("key")
     probes = at.select(F.col("node").alias("a"), F.col("head").alias("head_a"), F.explode(values).alias("key"))
-    if matches is None:
-        table = at.select(F.col("key").alias("key_b"), F.struct("node", "head").alias("b"))
-    else:
-        orders = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), F.struct("node", "head").alias("b")))["b"] for k in range(matches)]
-        table = at.groupBy(F.col("key").alias("key_b")).agg(F.array_distinct(F.array(*orders)).alias("found"))
-        table = table.select("key_b", F.explode("found").alias("b"))
-    # The first word decides most: it is the whole fingerprint, or its distance is bounded well above the expected one, so
-    # that chance meetings in a bucket end inside the join.
-    p = max_distance / (64 * words)
-    bound = max_distance if words == 1 else int(64 * p + 2.5 * np.sqrt(64 * p * (1 - p)))
-    near = F.bit_count(F.col("head_a").bitwiseXOR(F.col("b.head"))) <= bound
+    table = at.select(F.col("key").alias("key_b"), F.struct("node", "head").alias("b"))
+    # A fingerprint of one word is decided here, so that chance meetings in a bucket end inside the join.
+    near = F.bit_count(F.col("head_a").bitwiseXOR(F.col("b.head"))) <= (max_distance if words == 1 else 64)
     met = probes.join(table, (F.col("key") == F.col("key_b")) & (F.col("a") != F.col("b.node")) & near)
     pairs = met.select(F.least("a", "b.node").alias("a"), F.greatest("a", "b.node").alias("b")).distinct()
     if words == 1:
@@ -131,13 +117,15 @@ def near_groups(
     segment_bits: int = 24,
     ball: int = 1,
     max_distance: int | None = None,
-    matches: int | None = 2,
+    matches: None = None,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ..) with its fingerprint and its class of near duplicates.
 
     Equal fingerprints are one node; nodes link by ``near_links``; a class is a connected component. Without
     ``max_distance`` it is the number of bits in which texts of similarity 0.8 (shared shingles by all shingles) differ on
-    average, and one standard deviation: 64 bits a word, each different with probability acos(2 s / (1 + s)) / pi.
+    average, and one standard deviation: 64 bits a word, each different with probability acos(2 s / (1 + s)) / pi. That is
+    an estimate; ``similar_groups`` decides by the similarity itself. All members of a bucket are compared; ``matches``
+    can be nothing else.
 
     Null and empty texts have the fingerprint zero and are linked like any other. Rows that repeat a doc_id are rows of
     their own; component_id is the smallest doc_id of the class (null if it has none). An empty table gives no rows. Other
@@ -151,7 +139,7 @@ def near_groups(
     store = Stored(docs.sparkSession)
     rows = store.keep(fingerprints(docs, shingle_words, words), "fingerprints")
     nodes = store.keep(rows.groupBy("bits").agg(F.min(ROW).alias("node")), "nodes")
-    links = store.keep(near_links(nodes, words, segment_bits, ball, max_distance, matches), "links")
+    links = store.keep(near_links(nodes, words, segment_bits, ball, max_distance), "links")
     linked = components(links, store)
     classes = store.keep(
         nodes.join(linked, "node", "left").select("bits", F.coalesce("component", "node").alias("component")), "classes"
