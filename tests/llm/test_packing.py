@@ -53,6 +53,17 @@ def test_encoder_equals_the_tokenizer(path):
             assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_added_tokens_are_those_of_the_library(spark, tmp_path, path):
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|startoftext|>it's<|endoftext|><|endoftext|>", "日本 <|endoftext|> é", "<|ENDOFTEXT|> x", "<|endoftext", "plain"]
+    want = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert path == WORDS or want[0] == [64, 220, 50256, 275]
+    docs = stored(spark, tmp_path, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in pack_documents(docs, path).collect()}
+    assert got == {i: [*ids, 0] for i, ids in want.items()}
+
+
 def check(rows, got, capacity):
     tokenizer = Tokenizer.from_file(BYTES)
     tokenizer.encode_special_tokens = True

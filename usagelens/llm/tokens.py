@@ -54,15 +54,19 @@ class Encoder:
     Both vocabularies split a text by a pattern and encode each piece by itself, so that equal pieces have equal ids.
     Latin-1 texts are split here, by class of character, many texts at a time; those with an apostrophe by the pattern, as
     it knows contractions. New pieces are encoded by the tokenizer, many at a time. Texts beyond Latin-1 are encoded by
-    the tokenizer as a whole. The strings of special tokens in a text are ordinary text.
+    the tokenizer as a whole, and so are texts that hold the string of an added token, which is that token's id there.
+    Without ``added_tokens`` such strings are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = not added_tokens
+        decoder = self._tokenizer.get_added_tokens_decoder() if added_tokens else {}
+        #: Content of each added token, and whether it is sought in the normalized (lower-cased) text.
+        self._added = [(t.content, t.normalized) for t in decoder.values()]
         self._model = self._tokenizer.model
         self._alphabet = _byte_alphabet()
         #: A vocabulary with word ends drops white space and lower-cases.
@@ -143,6 +147,9 @@ class Encoder:
         out: list[np.ndarray | None] = [None] * len(texts)
         simple, blocks, listed = [], [], []
         for i, t in enumerate(texts):
+            if t and any(c in t or (normalized and c.lower() in t.lower()) for c, normalized in self._added):
+                out[i] = self._ids(t)
+                continue
             try:
                 data = (t or "").encode("latin-1")
             except UnicodeEncodeError:
@@ -203,9 +210,9 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this worker process."""
+    """The encoder of this worker process: ids are those of the library as it is, without the tokens it puts around a text."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, added_tokens=True)
     return _ENCODERS[path]
 
 
