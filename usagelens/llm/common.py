@@ -16,6 +16,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Number of a row within its stored table; tells rows apart whose doc_id repeats or is null.
 ROW = "_row"
+#: Of a row number, the bits that count within a file.
+_FILE_BITS = 40
 
 
 def importable(spark: SparkSession) -> None:
@@ -34,16 +36,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbered(docs: DataFrame, *columns: str | Column) -> DataFrame:
     """The columns asked for, and the row number.
 
-    ``docs`` must read stored files: the number is made of the file split and the place in it, so that every pass over
-    the same DataFrame, and every retry, numbers alike.
+    ``docs`` must read stored Parquet files: the number is made of the file's place among their paths and the row's place
+    in the file, so that every pass numbers alike, however the files are split among tasks. The driver gets a path for each
+    file that has rows, as it does when it plans the scan.
     """
-    return docs.select(F.monotonically_increasing_id().alias(ROW), *columns)
+    path = F.col("_metadata.file_path")
+    files = sorted(r[0] for r in docs.select(path.alias("path")).distinct().collect())
+    firsts = docs.sparkSession.createDataFrame([(f, i << _FILE_BITS) for i, f in enumerate(files)], "_path string, _first bigint")
+    here = docs.select(*columns)
+    placed = docs.select(F.struct(*columns).alias("_doc"), path.alias("_at_path"), F.col("_metadata.row_index").alias("_at"))
+    placed = placed.join(F.broadcast(firsts), F.col("_at_path") == F.col("_path"))
+    return placed.select((F.col("_first") + F.col("_at")).alias(ROW), *(F.col("_doc")[c].alias(c) for c in here.columns))
 
 
 def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose number is in ``rows``, once for each time it is there. All columns stay as they are."""
-    whole = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias(ROW))
-    return whole.join(rows.select(ROW), ROW).select("doc.*")
+    return numbered(docs, F.struct("*").alias("doc")).join(rows.select(ROW), ROW).select("doc.*")
 
 
 class Stored:
