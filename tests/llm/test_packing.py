@@ -2,13 +2,17 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
 from helpers import AWKWARD, stored
 from tokenizers import Tokenizer
 
+from usagelens.llm.common import Stored
 from usagelens.llm.packing import best_fit_decreasing, pack_documents, sequences
+from usagelens.llm import queries  # noqa: F401
+from usagelens.llm.registry import QUERIES
 from usagelens.llm.tokens import Encoder
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -100,3 +104,21 @@ def test_awkward_rows(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert pack_documents(stored(spark, tmp_path, []), BYTES).collect() == []
+
+
+@pytest.mark.parametrize("name", ["op5_packing", "pipeline"])
+def test_queries_write_the_ids_that_they_sum_up(name, spark, sf, tmp_path, monkeypatch):
+    """The last table written holds the ids, which fill whole sequences; the checksums returned are theirs."""
+    kept, keep = [], Stored.keep
+    monkeypatch.setattr(Stored, "keep", lambda store, df, *a, **o: kept.append(keep(store, df, *a, **o)) or kept[-1])
+    if name == "pipeline":
+        docs = stored(spark, tmp_path, AWKWARD)
+        out = corpus_pipeline.pack_sequences(spark, docs, None)
+    else:
+        out = QUERIES[name](spark, sf)
+    packed = kept[-1]
+    rows = packed.collect()
+    assert all(len(r.ids) == 4 * r.length for r in rows)
+    want = Counter((r.doc_id, r.start, zlib.crc32(r.ids), r.sequence_id, r.offset) for r in rows)
+    assert want == Counter((r.doc_id, r.start, r.ids_crc32, r.sequence_id, r.offset) for r in out.collect())
+    assert sum(r.used for r in sequences(packed).collect()) == sum(r.length for r in rows)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -95,17 +94,16 @@ _PIECE_FIELDS = [
     ("length", pa.int32()),
     ("doc_tokens", pa.int64()),
     ("ids", pa.binary()),
-    ("ids_crc32", pa.int64()),
 ]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Texts as pieces of at most ``capacity`` ids: full windows from the start on, then what is left.
 
-    _row, doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit; null unless ``with_ids``), ids_crc32.
+    _row, doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit).
     """
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"{ROW} bigint, doc_id {kind}, start bigint, length int, doc_tokens bigint, ids binary, ids_crc32 bigint"
+    schema = f"{ROW} bigint, doc_id {kind}, start bigint, length int, doc_tokens bigint, ids binary"
     end = np.array([end_id], ID_TYPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +116,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
                     ids = np.concatenate([ids, end])
                     for start in range(0, len(ids), capacity):
                         data = ids[start : start + capacity].tobytes()
-                        out.append((row, doc_id, start, len(data) // 4, len(ids), data if with_ids else None, zlib.crc32(data)))
+                        out.append((row, doc_id, start, len(data) // 4, len(ids), data))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), out_schema)], schema=out_schema)
 
     return numbered(docs, "doc_id", "text").mapInArrow(run, schema)
@@ -165,16 +163,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """All of ``docs`` (doc_id, text, ..) as token ids, packed into sequences of at most ``capacity``.
 
     One row per piece: _row, doc_id, start, length, doc_tokens, ids, ids_crc32, sequence_id, offset. Each id lies in
     exactly one piece, and each document ends with ``end_id``: null and empty texts are that id alone. Overlong documents
     are first cut into full windows. Rows that repeat a doc_id, or are equal, are packed each by itself. An empty table
-    gives no rows. Other columns are not read. Texts are encoded once; the pieces are written before they are placed.
+    gives no rows. Other columns are not read. Texts are encoded once; the pieces are written before they are placed, and
+    again with their places. ids_crc32 is that of the ids as they are stored there.
     """
     store = Stored(docs.sparkSession)
-    return pack(store.keep(token_pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces"), capacity)
+    pieces = store.keep(token_pieces(docs, tokenizer, capacity, end_id), "pieces", compression="zstd")
+    packed = store.keep(pack(pieces, capacity), "packed", compression="zstd")
+    store.drop(pieces)
+    return packed.select(ROW, "doc_id", "start", "length", "doc_tokens", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = END_ID) -> DataFrame:

@@ -138,7 +138,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    packed = pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     columns = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     return packed.select("doc_id", *(F.col(c).cast("long").alias(c) for c in columns))
 
