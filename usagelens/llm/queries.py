@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from usagelens.llm.classifier import quality_scores
 from usagelens.llm.common import documents, id_remainder
+from usagelens.llm.credentials import secrets
 from usagelens.llm.exact_dedup import exact_duplicates
 from usagelens.llm.langid import language_id
+from usagelens.llm.lexical import TOP, ranked_search
 from usagelens.llm.mixing import mix
 from usagelens.llm.packing import pack_documents
 from usagelens.llm.pii import personal_data
@@ -18,6 +20,7 @@ from usagelens.llm.registry import query
 from usagelens.llm.simhash import near_groups
 from usagelens.llm.substrings import substring_dedup
 from usagelens.llm.token_files import round_trip
+from usagelens.llm.whitening import whiten
 
 _EXACT_SQL = r"""
 with d as (
@@ -170,3 +173,35 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_mixing")
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_secrets")
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+_TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_LEXICAL_SQL = rf"""
+with t as (select doc_id, unnest({_TERMS_SQL}) as term from documents),
+f as (select doc_id, term, count(*) as tf from t group by all),
+d as (select doc_id, cast(sum(tf) as bigint) as n from f group by doc_id),
+s as (select count(*) as docs, cast(sum(n) as bigint) as total from d),
+w as (select term, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) as bigint) as weight from f, s group by term),
+q as (select item_id, term, count(*) as times from (select item_id, unnest({_TERMS_SQL}) as term from benchmark) group by all),
+scores as (
+  select item_id, doc_id, cast(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total)))) as bigint) as score
+  from q join w using (term) join f using (term) join d using (doc_id), s group by all),
+ranked as (select item_id, doc_id, score, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= {TOP}
+"""
+
+
+@query("op12_lexical_search", _LEXICAL_SQL)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
