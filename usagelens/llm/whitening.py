@@ -22,11 +22,13 @@ BLOCK = 4_096
 #: Directions that are iterated besides the components: the more, the faster the components part from the rest.
 EXTRA = 28
 #: Passes of the first look at the spectrum's ends.
-_LANCZOS = 12
+_LANCZOS = 8
 #: A filter damps the unwanted directions against the last component so much, in so many passes at most.
 _DAMPING, _DEGREE = 1e9, 24
-#: Certified: residuals are below this part of the largest eigenvalue, and iterating on no longer halves them.
-TOLERANCE = 1e-11
+#: Certified: residuals below this part of the largest eigenvalue, which is what rounding leaves ..
+TOLERANCE = 1e-14
+#: .. or below this, if another round no longer halves them.
+_SETTLED = 1e-11
 #: Directions with a smaller part of the largest eigenvalue have no variance.
 _NO_VARIANCE = 1e-12
 _MAX_ROUNDS = 200
@@ -173,9 +175,9 @@ def leading(product: Product, width: int, components: int, extra: int = EXTRA, s
     """Leading eigenvalues (falling) and unit eigenvectors of a symmetric positive operator that is only known by products.
 
     Each round filters a block of ``components + extra`` directions, makes it orthogonal and takes Ritz values and vectors.
-    It ends when the residuals of all components certify them: below TOLERANCE of the largest eigenvalue, and at the limit
-    of doubles, as another round no longer halves them. A residual bounds an eigenvalue's error, and over its gap to the next one its
-    vector's. Each round also takes in a fresh random direction, so that one which the start had missed can enter.
+    It ends when the residuals of all components certify them (see TOLERANCE): a residual bounds an eigenvalue's error, and,
+    divided by the gap to the next one, its vector's. Each round also takes in a fresh random direction, so that one which
+    the start had missed can enter.
     """
     random = np.random.default_rng(seed)
     size = min(width, components + extra)
@@ -191,7 +193,7 @@ def leading(product: Product, width: int, components: int, extra: int = EXTRA, s
         q, image = q @ turn, image @ turn
         worst = float(np.linalg.norm(image[:, :components] - q[:, :components] * values[:components], axis=0).max())
         scale = max(float(values[0]), 0.0)
-        if size == width or worst <= TOLERANCE * scale and worst > last / 2 or scale == 0:
+        if size == width or scale == 0 or worst <= TOLERANCE * scale or last / 2 < worst <= _SETTLED * scale:
             return values[:components], q[:, :components]
         last = worst
         # Unwanted is what lies below the smallest Ritz value of the block.
