@@ -22,8 +22,8 @@ TOP = 20
 SHARD_BYTES = 16_000_000
 #: Postings of a block: what is decompressed at once, and has a maximum of its own.
 BLOCK = 64
-#: Documents whose candidates are settled together, before the threshold rises.
-_RANGE = 512
+#: Documents of a shard whose candidates are settled first; each range after it is twice as long, as the threshold rises ever less.
+_RANGE = 256
 #: Items that are searched together in one task.
 ITEMS = 256
 #: Bytes of a text that are split into terms at once.
@@ -220,20 +220,62 @@ class Postings:
             i += 1
 
 
-def search_shard(lists: list[tuple[Postings, int]], n_docs: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+List = tuple[Postings, int]
+
+
+def _settled(lists: list[List], docs: np.ndarray, score: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``docs`` that reach the threshold when the gains by ``lists`` are added, and their scores.
+
+    Documents are first held against the maxima of just the blocks that they would lie in; only blocks that still have
+    candidates are decompressed, the lists that promise most first.
+    """
+    # A document beyond a list's last block gains nothing.
+    at = [np.searchsorted(p.last, docs) for p, _ in lists]
+    above = np.array([np.append(p.block_max, 0)[a] * t for (p, t), a in zip(lists, at)])
+    rest = above.sum(axis=0)
+    live = score + rest >= threshold
+    for k in range(len(lists) - 1, -1, -1):
+        postings, times = lists[k]
+        rest = rest - above[k]
+        for i in np.unique(at[k][live & (above[k] > 0)]):
+            has = np.flatnonzero(live & (at[k] == i))
+            block_docs, block_scores = postings.block(int(i))
+            place = np.searchsorted(block_docs, docs[has]).clip(max=len(block_docs) - 1)
+            score[has] += np.where(block_docs[place] == docs[has], block_scores[place] * times, 0)
+        live &= score + rest >= threshold
+    return docs[live], score[live]
+
+
+def _first_threshold(lists: list[List], top: int) -> int:
+    """The score of some document that ``top`` documents reach; 1 if there are too few. No best document scores less.
+
+    They are sought where the lists that promise most begin.
+    """
+    docs = np.zeros(0, np.int64)
+    for postings, _ in reversed(lists):
+        docs = np.union1d(docs, postings.block(0)[0])
+        if len(docs) >= 2 * top:
+            break
+    scores = _settled(lists, docs, np.zeros(len(docs), np.int64), 1)[1]
+    return int(np.sort(scores)[-top]) if len(scores) >= top else 1
+
+
+def search_shard(lists: list[List], n_docs: int, top: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents of a shard that may be among the best ``top`` (all that tie with the last included), and their scores.
 
     ``lists`` are the postings of the item's terms and how often the item has each. MaxScore: lists whose bounds add up to
     less than the threshold are non-essential, as no document becomes a candidate by them alone; the others are
     accumulated, a range of documents at a time. A candidate is then held against the bounds of the non-essential lists, and
-    against the maxima of just the blocks that it would lie in; only blocks that still have candidates are decompressed.
+    then against the maxima of their blocks, see ``_settled``.
     """
     lists = sorted(lists, key=lambda p: p[0].bound * p[1])
     upto = np.cumsum([0] + [p.bound * times for p, times in lists])
+    threshold = _first_threshold(lists, top)
     best: list[int] = []
-    threshold, docs_out, scores_out = 1, [], []
-    for lo in range(0, n_docs, _RANGE):
-        hi = min(lo + _RANGE, n_docs)
+    docs_out, scores_out = [], []
+    hi = 0
+    while hi < n_docs:
+        lo, hi = hi, min(2 * hi + _RANGE, n_docs)
         # upto[k] bounds the lists before k together.
         essential = int(np.searchsorted(upto[1:], threshold))
         if essential == len(lists):
@@ -243,33 +285,17 @@ def search_shard(lists: list[tuple[Postings, int]], n_docs: int, top: int) -> tu
             for docs, scores in postings.between(lo, hi):
                 total[docs - lo] += scores * times
         found = np.flatnonzero((total > 0) & (total + upto[essential] >= threshold))
-        if len(found) and essential:
-            docs, score = found + lo, total[found]
-            # Block maxima of all non-essential lists at the candidates; a document beyond a list's last block gains nothing.
-            at = [np.searchsorted(p.last, docs) for p, _ in lists[:essential]]
-            above = np.array([np.append(p.block_max, 0)[a] * t for (p, t), a in zip(lists[:essential], at)])
-            rest = above.sum(axis=0)
-            live = score + rest >= threshold
-            for k in range(essential - 1, -1, -1):
-                postings, times = lists[k]
-                rest = rest - above[k]
-                for i in np.unique(at[k][live & (above[k] > 0)]):
-                    has = np.flatnonzero(live & (at[k] == i))
-                    block_docs, block_scores = postings.block(int(i))
-                    place = np.searchsorted(block_docs, docs[has]).clip(max=len(block_docs) - 1)
-                    score[has] += np.where(block_docs[place] == docs[has], block_scores[place] * times, 0)
-                live &= score + rest >= threshold
-            found, total = found[live], score[live]
-        else:
-            total = total[found]
-        for s in total[total >= threshold].tolist():
+        docs, scores = found + lo, total[found]
+        if len(docs) and essential:
+            docs, scores = _settled(lists[:essential], docs, scores, threshold)
+        for s in scores[scores >= threshold].tolist():
             if len(best) < top:
                 heapq.heappush(best, s)
             elif s > best[0]:
                 heapq.heapreplace(best, s)
-        docs_out.append(found + lo)
-        scores_out.append(total)
-        threshold = best[0] if len(best) == top else 1
+        docs_out.append(docs)
+        scores_out.append(scores)
+        threshold = max(threshold, best[0]) if len(best) == top else threshold
     docs, scores = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs_out, scores_out))
     keep = scores >= threshold
     return docs[keep], scores[keep]
@@ -335,7 +361,7 @@ def search(index: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         norms = norm(group["lengths"].dropna().iloc[0])
-        by_item: dict[int, list[tuple[Postings, int]]] = {}
+        by_item: dict[int, list[List]] = {}
         for r in group[group["lengths"].isna()].itertuples(index=False):
             found = Postings(weight(n_docs, int(r.docs_with)), r.ends, r.last, r.most_tf, norm(r.least_n), r.blocks, norms)
             for use in r.uses:

@@ -32,6 +32,7 @@ _SETTLED = 1e-11
 #: Directions with a smaller part of the largest eigenvalue have no variance.
 _NO_VARIANCE = 1e-12
 _MAX_ROUNDS = 200
+_PART = 60
 
 
 class Whitening(NamedTuple):
@@ -107,13 +108,15 @@ def _moments(blocks: DataFrame, width: int) -> tuple[int, list[int], list[int]]:
             for x in _opened(batch, width):
                 exact = x.astype(np.int64 if float(np.abs(x.astype(np.float64)).max()) ** 2 * len(x) < 2**62 else object)
                 n, sums, squares = n + len(x), sums + exact.sum(axis=0).astype(object), squares + (exact * exact).sum(axis=0).astype(object)
-        numbers = [pa.array([Decimal(int(v)) for v in c], pa.decimal128(38, 0)) for c in (sums, squares)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array([n] * width, pa.int64()), *numbers], ["i", "n", "s", "q"])
+        # Squares in two parts, as whole they may be longer than a decimal.
+        parts = (sums, [int(v) >> _PART for v in squares], [int(v) & ((1 << _PART) - 1) for v in squares])
+        numbers = [pa.array([Decimal(int(v)) for v in c], pa.decimal128(38, 0)) for c in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array([n] * width, pa.int64()), *numbers], ["i", "n", "s", "high", "low"])
 
-    partial = blocks.mapInArrow(run, "i int, n bigint, s decimal(38,0), q decimal(38,0)")
-    rows = partial.groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect()
+    partial = blocks.mapInArrow(run, "i int, n bigint, s decimal(38,0), high decimal(38,0), low decimal(38,0)")
+    rows = partial.groupBy("i").agg(*(F.sum(c).alias(c) for c in ("n", "s", "high", "low"))).collect()
     rows = sorted(rows, key=lambda r: r["i"])
-    return rows[0]["n"], [int(r["s"]) for r in rows], [int(r["q"]) for r in rows]
+    return rows[0]["n"], [int(r["s"]) for r in rows], [(int(r["high"]) << _PART) + int(r["low"]) for r in rows]
 
 
 def _summed(blocks: DataFrame, mean: np.ndarray, shape: tuple[int, ...], of_block: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -209,8 +212,10 @@ def leading(product: Product, width: int, components: int, extra: int = EXTRA, s
 
 def fit(vectors: DataFrame, width: int, components: int, store: Stored) -> Whitening | None:
     """The whitening of the distinct vectors (x), all of ``width`` entries; None without rows or variance."""
+    if not width:
+        return None
     blocks = store.keep(_blocks(vectors.select("x").distinct(), width), "blocks")
-    if not width or blocks.isEmpty():
+    if blocks.isEmpty():
         return None
     n, sums, squares = _moments(blocks, width)
     # Exact up to the last division: n * sum of squares less square of the sum.
