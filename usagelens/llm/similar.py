@@ -1,4 +1,4 @@
-"""Near duplicates by the exact similarity of their shingles; MinHash only proposes the pairs."""
+"""Near duplicates by the exact similarity of their shingles; MinHash and a prefix filter only propose the pairs."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.llm.common import ROW, Stored, components, numbered
@@ -18,11 +18,13 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: A pair of similarity s shares no bucket with probability (1 - s ** _EACH) ** _BANDS: 3 in a million at 0.8.
 _BANDS, _EACH = 32, 5
-#: Rounds in which a bucket answers with one member, before all members of different classes are compared.
+#: Rounds in which a bucket answers with one member, before what is left open is compared by its rarest shingles.
 _HUB_ROUNDS = 2
 _HASH_SEED = 42
 #: Shingles whose minima are taken together: bounds the memory of very long texts.
 _TOGETHER = 4096
+#: Sets that leave a task together.
+_TOGETHER_SETS = 256
 
 _random = np.random.default_rng(20)
 _FLIP = _random.integers(0, 1 << 64, (_BANDS * _EACH, 1), np.uint64)
@@ -69,24 +71,32 @@ def _signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
     return numbered(docs, "doc_id", "text").mapInArrow(run, f"{ROW} bigint, doc_id {kind}, digest binary, n bigint, keys array<bigint>")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts share ``similarity`` of all their shingles, compared as they are."""
+def shingle_hashes(found: set[bytes]) -> np.ndarray:
+    """64-bit hashes of shingles, each once."""
+    digests = b"".join(xxhash.xxh64_digest(s, _HASH_SEED) for s in found)
+    return np.unique(np.frombuffer(digests, ">u8").astype(np.uint64)).view(np.int64)
+
+
+def _sets(texts: DataFrame, nodes: DataFrame, shingle_words: int) -> DataFrame:
+    """node, hashes: the shingles of the whole texts of ``nodes`` (node) as sets of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, set()
         for batch in batches:
-            keep = []
-            for b, text_a, text_b in zip(batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b")):
-                if b != last:
-                    last, known = b, shingles(text_b.as_py(), shingle_words)
-                other = shingles(text_a.as_py(), shingle_words)
-                shared = len(known & other)
-                keep.append(shared >= similarity * (len(known) + len(other) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for lo in range(0, batch.num_rows, _TOGETHER_SETS):
+                part = batch.slice(lo, _TOGETHER_SETS)
+                hashes = [shingle_hashes(shingles(text.as_py(), shingle_words)) for text in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column(ROW), pa.array(hashes, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    wanted = nodes.select(F.col("node").alias(ROW)).distinct()
+    return texts.join(wanted, ROW, "left_semi").select(ROW, "text").mapInArrow(run, "node bigint, hashes array<bigint>")
+
 
-    joined = pairs.join(texts.select(F.col(ROW).alias("a"), F.col("text").alias("text_a")), "a")
-    joined = joined.join(texts.select(F.col(ROW).alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets share ``similarity`` of all their shingles."""
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a")
+    joined = joined.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return joined.filter(shared >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
 def _classes(members: DataFrame, links: DataFrame, store: Stored) -> DataFrame:
@@ -97,49 +107,96 @@ def _classes(members: DataFrame, links: DataFrame, store: Stored) -> DataFrame:
     )
 
 
+def _pair(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _at_least(share: float, n: Column) -> Column:
+    """The least whole number that is ``share`` of ``n``; rounding never makes it greater."""
+    return F.ceil(F.lit(share) * n - F.lit(1e-6))
+
+
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, store: Stored, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, component) in different classes that may be similar: all that are, and few others.
+
+    Prefix filter: shingles are ordered by how many sets have them, the rarest first. Of two sets with ``similarity`` of all their
+    shingles in common, the first shingles of the one are among the first of the other: a fifth of the larger and a ninth of the
+    smaller will do at 0.8. Sizes, and how much can still be shared from the two places on, decide in the join already. Texts that
+    only share a template or a passage do not meet, as what they share is not rare. A shingle whose sets are all of one class is left
+    out; else those outside its largest class are joined with all, so that a large class is never joined with itself.
+    """
+    t = similarity
+    own = nodes.join(sets, "node").select("node", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("shingle"))
+    own = store.keep(own, "shingles")
+    # Written before it is joined, so that the sets of a frequent shingle can be split.
+    shared = store.keep(own.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1"), "shared")
+    # A set's shingles that no other has come first; of the others, by rank.
+    lists = own.join(shared, "shingle").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("ordered"))
+    alone = F.col("n") - F.size("ordered")
+    longest = F.col("n") - _at_least(t, F.col("n")) + 1
+    first = F.slice("ordered", 1, F.greatest(longest - alone, F.lit(0)).cast("int"))
+    entries = lists.select("node", "component", "n", alone.alias("alone"), F.posexplode(first).alias("i", "s"))
+    short = F.col("n") - _at_least(2 * t / (1 + t), F.col("n")) + 1
+    entries = entries.select("node", "component", "n", (F.col("alone") + F.col("i")).alias("at"), F.col("s.shingle").alias("shingle"), short.alias("short"))
+    entries = store.keep(entries, "entries")
+    classes = entries.groupBy("shingle", "component").agg(F.count("*").alias("size")).groupBy("shingle")
+    classes = classes.agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("classes"))
+    classes = store.keep(classes.filter("classes > 1").drop("classes"), "classes")
+    met = store.keep(entries.join(classes, "shingle").withColumn("outside", F.col("component") != F.col("largest")).drop("largest"), "met")
+    store.drop(own)
+    store.drop(entries)
+    other = met.select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "n", "at", "short", "outside")))
+    smaller = F.struct("n", "node") < F.struct("other_n", "other_node")
+    found = met.filter("outside").join(other, "shingle").filter(
+        (F.col("component") != F.col("other_component"))
+        & (~F.col("other_outside") | (F.col("node") < F.col("other_node")))
+        & (F.least("n", "other_n") >= F.lit(t) * F.greatest("n", "other_n") - F.lit(1e-6))
+        & F.when(smaller, F.col("at") < F.col("short")).otherwise(F.col("other_at") < F.col("other_short"))
+        & (F.least(F.col("n") - F.col("at"), F.col("other_n") - F.col("other_at")) >= _at_least(t / (1 + t), F.col("n") + F.col("other_n")))
+    )
+    return _pair(found.select("node", F.col("other_node").alias("other")))
+
+
 def similar_links(nodes: DataFrame, texts: DataFrame, store: Stored, shingle_words: int, similarity: float) -> DataFrame:
     """Verified pairs (a, b) of ``nodes`` (node, n, keys) whose components are those of all similar pairs in a bucket.
 
     First each bucket answers with one member, so that a group of thousands of near copies costs what it has members. What
-    that leaves open is then compared in full: all members of a bucket that are in different classes by then. Two members
-    of one class need no comparison, as a link between them would change no class.
+    that leaves open, members of buckets with several classes, is then compared by an exact prefix filter (see
+    ``prefix_pairs``). Two members of one class need no comparison, as a link between them would change no class.
     """
     ratio = F.lit(similarity)
     at = store.keep(nodes.select(F.explode("keys").alias("key"), "node", "n"), "buckets")
     crowded = at.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     members = store.keep(at.join(crowded, "key").select("key", "node", "n", F.col("node").alias("component")), "members")
     store.drop(at)
-    tried = links = None
-    for round_ in range(_HUB_ROUNDS + 1):
+    sets = store.keep(_sets(texts, members, shingle_words), "sets")
+    links = None
+    for round_ in range(_HUB_ROUNDS):
         open_ = members.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"),
             F.min(F.struct(F.xxhash64(F.lit(round_), "node").alias("h"), "node", "n", "component")).alias("hub"),
         ).filter("low != high")
-        if round_ < _HUB_ROUNDS:
-            met = members.join(open_.select("key", "hub"), "key").filter(F.col("component") != F.col("hub.component"))
-            met = met.select("node", "n", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n"))
-        else:
-            left = members.join(open_.select("key"), "key")
-            right = left.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
-            met = left.join(right, "key").filter(F.col("component") < F.col("other_component"))
+        met = members.join(open_.select("key", "hub"), "key").filter(F.col("component") != F.col("hub.component"))
         # Sets whose sizes differ more can't be similar.
-        met = met.filter(F.least("n", "other_n") >= ratio * F.greatest("n", "other_n"))
-        pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = store.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = store.keep(_similar(pairs, texts, shingle_words, similarity), "similar")
+        met = met.filter(F.least("n", "hub.n") >= ratio * F.greatest("n", "hub.n"))
+        pairs = store.keep(_pair(met.select("node", F.col("hub.node").alias("other"))), "pairs")
+        found = store.keep(_verified(pairs, sets, similarity), "similar")
+        store.drop(pairs)
         links = found if links is None else links.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
-        if round_ < _HUB_ROUNDS:
-            members = _classes(members.drop("component"), links, store)
-    return links
+        before, members = members, _classes(members.drop("component"), links, store)
+        store.drop(before)
+    several = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+    left = store.keep(members.join(several.select("key"), "key").select("node", "component").distinct(), "open")
+    pairs = store.keep(prefix_pairs(left, sets, store, similarity), "pairs")
+    return links.union(store.keep(_verified(pairs, sets, similarity), "similar"))
 
 
 def similar_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ..) with its class of near duplicates.
 
-    Two texts are linked if the shingles they share are at least ``similarity`` of the shingles of both, counted in the
-    texts themselves; a class is a connected component. No pair below is ever linked; a pair at 0.8 is missed with
-    probability 3e-6, more similar ones less (see ``_BANDS``).
+    Two texts are linked if the shingles they share are at least ``similarity`` of the shingles of both, counted over the
+    whole texts as sets of 64-bit hashes; a class is a connected component. But for equal hashes of different shingles no pair
+    below is ever linked; a pair at 0.8 is missed with probability 3e-6, more similar ones less (see ``_BANDS``).
 
     Texts with equal shingles are one node; null and empty texts are one. Rows that repeat a doc_id are rows of their own;
     component_id is the smallest doc_id of the class (null if it has none). An empty table gives no rows. Other columns are
