@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,20 +95,24 @@ _PIECE_FIELDS = [
     ("length", pa.int32()),
     ("doc_tokens", pa.int64()),
     ("ids", pa.binary()),
+    ("part", pa.int32()),
+    ("within", pa.int64()),
 ]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Texts as pieces of at most ``capacity`` ids: full windows from the start on, then what is left.
 
-    _row, doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit).
+    _row, doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit), and the piece's number among those of its
+    length in its task: part, within. Store the rows before they are read, so that these stay as they are.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"{ROW} bigint, doc_id {kind}, start bigint, length int, doc_tokens bigint, ids binary"
+    schema = f"{ROW} bigint, doc_id {kind}, start bigint, length int, doc_tokens bigint, ids binary, part int, within bigint"
     end = np.array([end_id], ID_TYPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
+        part_id, met = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             out_schema = pa.schema([(ROW, pa.int64()), ("doc_id", batch.schema.field("doc_id").type), *_PIECE_FIELDS])
             for part in batch_slices(batch):
@@ -116,7 +121,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
                     ids = np.concatenate([ids, end])
                     for start in range(0, len(ids), capacity):
                         data = ids[start : start + capacity].tobytes()
-                        out.append((row, doc_id, start, len(data) // 4, len(ids), data))
+                        n = len(data) // 4
+                        out.append((row, doc_id, start, n, len(ids), data, part_id, met[n]))
+                        met[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), out_schema)], schema=out_schema)
 
     return numbered(docs, "doc_id", "text").mapInArrow(run, schema)
@@ -125,39 +132,36 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 _PLAN = T.StructType(
     [T.StructField(c, T.LongType(), False) for c in ("of_length", "low", "high", "each", "first_window", "first_offset")]
 )
-#: Pieces of a length that are ranked together.
-_RANKED = 1 << 14
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The stored rows of ``pieces`` (_row, start, length, ..) with sequence_id and offset.
+    """The stored rows of ``token_pieces`` with sequence_id and offset instead of part and within.
 
     Best-fit decreasing over all pieces at once: the decisions depend only on how many pieces have each length, at most
     ``capacity`` numbers, whatever the number of documents. They are made once, from those counts; pieces then find their
-    place by their rank among the pieces of their length. Ranks are made of a count for each (length, group of rows) and a
-    number within the group, so that no length is gathered in one task. Sequences are numbered from 0 without gaps, and
-    filled from place 0 without gaps.
+    place by their rank among the pieces of their length: how many the parts before theirs have, and their own number within
+    it. So only counts for each (part, length) are shuffled and summed up; they are joined with the pieces by their size, and
+    ids stay where they are while that is small. Sequences are numbered from 0 without gaps, and filled from place 0 without
+    gaps.
     """
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    spark = pieces.sparkSession
+    sizes = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("length", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    store = Stored(spark)
+    sizes = store.keep(sizes, "piece_counts")
+    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     if any(not 0 < n <= capacity for n in counts):
         raise ValueError(f"pieces must have 1 to {capacity} tokens")
     plan = best_fit_decreasing(counts, capacity)
-    group = F.pmod(F.xxhash64(ROW, "start"), F.lit(max(1, max(counts.values(), default=1) // _RANKED)))
-    dealt = pieces.withColumn("group", group)
-    sizes = dealt.groupBy("length", "group").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("length").alias("l"), F.col("group").alias("g"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "group").orderBy(ROW, "start")) - 1
-    ranked = dealt.withColumn("within", within).join(sizes, (F.col("length") == F.col("l")) & (F.col("group") == F.col("g")))
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("within"))
-    spark = pieces.sparkSession
+    ranked = pieces.join(sizes.drop("n"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("within"))
     # At most four rows for each length up to the capacity.
     places = F.broadcast(spark.createDataFrame([tuple(map(int, p)) for p in plan], _PLAN))
     rank = F.col("rank")
     placed = ranked.join(places, (F.col("length") == F.col("of_length")) & (rank >= F.col("low")) & (rank < F.col("high")))
     turn = rank - F.col("low")
     return placed.select(
-        *pieces.columns,
+        *(c for c in pieces.columns if c not in ("part", "within")),
         (F.col("first_window") + F.floor(turn / F.col("each"))).cast("long").alias("sequence_id"),
         (F.col("first_offset") + turn % F.col("each") * F.col("length")).cast("long").alias("offset"),
     )
