@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,30 +51,48 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return values[:n]
 
 
+def _in_ranges(docs: DataFrame) -> DataFrame:
+    """chunk, doc_id, text in ascending order of doc_id: chunks are ranges, in order, and each lies in one partition, sorted.
+
+    Rows that share a doc_id are told apart by their place in their file, so that one id that many rows share does not fill
+    one range, and no text is looked at for it.
+    """
+    placed = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_at_path"), F.col("_metadata.row_index").alias("_at"))
+    order = (F.col("doc_id").asc_nulls_first(), "_at_path", "_at")
+    ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.select(F.spark_partition_id().alias("chunk"), "doc_id", "text")
+
+
 def _token_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int) -> DataFrame:
-    """Blocks of whole documents in ascending order of doc_id: (chunk, before, doc_ids, lengths, ids).
+    """Blocks of whole documents in ascending order of doc_id: (chunk, before, doc_ids, lengths, ids, counts).
 
-    Chunks are ranges of ids, in order; ``before`` counts the ids of earlier blocks of the chunk. Equal doc_ids are ordered
-    by a hash of the text, so that one id that many rows share does not fill one range.
+    Chunks are ranges of ids, in order; ``before`` counts the ids of earlier blocks of the chunk. A last row of each chunk,
+    without ids, says how often it has each id.
     """
-    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
-    ordered = ordered.select(F.spark_partition_id().alias("chunk"), "doc_id", "text")
+    ordered = _in_ranges(docs)
     kind = dict(docs.dtypes)["doc_id"]
     end = np.array([end_id], ID_TYPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         ids_of, docs_of, size, before, chunk, out_schema = [], [], 0, 0, None, None
+        total = np.zeros(0, np.int64)
 
-        def block() -> pa.RecordBatch:
-            values = [chunk, before, docs_of, [len(x) for x in ids_of], np.concatenate(ids_of).tobytes()]
+        def row(*values: object) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, out_schema)], schema=out_schema)
 
+        def block() -> pa.RecordBatch:
+            nonlocal total
+            ids = np.concatenate(ids_of)
+            counts = np.bincount(ids, minlength=len(total))
+            counts[: len(total)] += total
+            total = counts
+            return row(chunk, before, docs_of, [len(x) for x in ids_of], ids.tobytes(), None)
+
         for batch in batches:
             out_schema = pa.schema([
                 ("chunk", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(batch.schema.field("doc_id").type)),
-                ("lengths", pa.list_(pa.int32())), ("ids", pa.binary()),
+                ("lengths", pa.list_(pa.int32())), ("ids", pa.binary()), ("counts", pa.list_(_COUNT)),
             ])
             for part in batch_slices(batch):
                 chunk = part["chunk"][0]
@@ -88,27 +105,22 @@ def _token_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int)
                     size += len(ids) + 1
         if size:
             yield block()
+            seen = np.flatnonzero(total)
+            yield row(chunk, None, None, None, None, [{"id": i, "n": n} for i, n in zip(seen.tolist(), total[seen].tolist())])
 
-    return ordered.mapInArrow(run, f"chunk int, before bigint, doc_ids array<{kind}>, lengths array<int>, ids binary")
+    schema = f"chunk int, before bigint, doc_ids array<{kind}>, lengths array<int>, ids binary, counts array<struct<id:bigint,n:bigint>>"
+    return ordered.mapInArrow(run, schema)
 
 
-def frequency_ranks(blocks: DataFrame) -> np.ndarray:
-    """Ids by falling frequency over all blocks (ids that never occur are left out); equal ones by id.
+_COUNT = pa.struct([("id", pa.int64()), ("n", pa.int64())])
 
-    Tasks count what they read; at most one number for each id of the vocabulary reaches the driver.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for data in batch["ids"]:
-                counts = np.bincount(np.frombuffer(data, ID_TYPE), minlength=len(total))
-                counts[: len(total)] += total
-                total = counts
-        seen = np.flatnonzero(total)
-        yield pd.DataFrame({"id": seen, "n": total[seen]})
-
-    counted = blocks.select("ids").mapInPandas(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+def frequency_ranks(counts: DataFrame) -> np.ndarray:
+    """Ids by falling frequency (ids that never occur are left out); equal ones by id. ``counts`` (counts) has those of parts.
+
+    At most one number for each id of the vocabulary reaches the driver.
+    """
+    counted = counts.select(F.explode("counts").alias("c")).groupBy("c.id").agg(F.sum("c.n").alias("n"))
     rows = sorted(counted.collect(), key=lambda r: (-r["n"], r["id"]))
     return np.array([r["id"] for r in rows], ID_TYPE)
 
@@ -122,12 +134,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     is never seen.
 
     Each document ends with ``end_id``; null and empty texts are that id alone. Null doc_ids come first; rows that repeat a
-    doc_id are written each. An empty table gives no block. Other columns are not read.
+    doc_id are written each, in the order in which they are stored. ``docs`` must read stored Parquet files. An empty table
+    gives no block. Other columns are not read.
     """
     spark = docs.sparkSession
     store = Stored(spark)
-    blocks = store.keep(_token_blocks(docs, tokenizer, end_id, block_ids), "tokens", compression="zstd")
-    by_rank = frequency_ranks(blocks)
+    tokens = store.keep(_token_blocks(docs, tokenizer, end_id, block_ids), "tokens", compression="zstd")
+    by_rank = frequency_ranks(tokens.filter("counts is not null"))
+    blocks = tokens.filter("ids is not null").drop("counts")
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank))
 
@@ -143,7 +157,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     coded.write.option("compression", "zstd").parquet(f"{folder}/blocks")
     ranks = spark.createDataFrame([(by_rank.astype(np.int64).tolist(),)], "ids array<bigint>")
     ranks.coalesce(1).write.parquet(f"{folder}/ranks")
-    store.drop(blocks)
+    store.drop(tokens)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -174,10 +188,5 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFra
     spark = docs.sparkSession
     folder = scratch_dir(spark, "token-files")
     write_token_files(docs, tokenizer, folder, end_id)
-
-    @F.pandas_udf("long")
-    def crc32(ids: pd.Series) -> pd.Series:
-        return ids.map(zlib.crc32)
-
     read = read_token_files(spark, folder)
-    return read.select("doc_id", "start", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), crc32("ids").alias("ids_crc32"))
+    return read.select("doc_id", "start", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
