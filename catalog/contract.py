@@ -8,6 +8,7 @@ from catalog.registry import query
 from catalog.views import request_rows, requests, sql, table
 from usagelens.contract import REQUEST_FIELDS
 from usagelens.plans import checks
+from usagelens.sources.paths import scratch_dir
 
 # Constants for required columns that the derived requests do not have.
 FILLED = {
@@ -136,3 +137,17 @@ def unseen(spark, sf):
         .otherwise(F.col("endpoint")).alias("endpoint"),
     )
     return checks.warnings(changed)
+
+
+@query("h10_schema_drift", sql("""
+select partition_value, c as "column", ch as "check" from (select min(date_local) partition_value from req),
+  (values ('endpoint', 'missing column'), ('note', 'undeclared column'), ('latency_ms', 'type is string, expected bigint')) v(c, ch)""", "req"))
+def schema_drift(spark, sf):
+    """The first date's files lack a column, have one more, and hold one as another type; the other dates are as declared."""
+    folder = scratch_dir(spark, "drifted")
+    rows = requests(spark, sf)
+    first = rows.agg(F.min("date_local")).first()[0]
+    rows.where(F.col("date_local") != first).write.partitionBy("date_local").parquet(folder)
+    drifted = rows.where(F.col("date_local") == first).drop("date_local", "endpoint").withColumns({"note": F.lit("x"), "latency_ms": F.col("latency_ms").cast("string")})
+    drifted.write.parquet(f"{folder}/date_local={first}")
+    return checks.schema_drift(spark, folder)

@@ -8,7 +8,10 @@ from catalog.registry import query
 from catalog.views import requests, sql
 from usagelens.operators.concentration import concentration_summary, flagged_groups
 from usagelens.plans.identity import build_registry, registry_report
+from usagelens.plans.incremental import read_updated, update_levels
 from usagelens.plans.levels import build_concentration, build_thread, build_turn, build_user
+from usagelens.sources import tables as T
+from usagelens.sources.paths import scratch_dir
 
 
 @query("l01_build_turn", sql("select * from turn", "turn"))
@@ -27,6 +30,36 @@ def user(spark, sf):
     return build_user(r, build_registry(r))
 
 
+def followed(spark, sf):
+    """Level tables brought up to date after each of three commits: some sources, all others, and one that is read again."""
+    folder, home = scratch_dir(spark, "requests"), scratch_dir(spark, "levels")
+    rows = requests(spark, sf).withColumn("source_path", F.concat(F.lit("logs/"), F.col("username"))).where("username is not null")
+    again, early = F.col("username") == "user0003", F.col("username") < "user0008"
+    stale = rows.where(again).withColumns({"prompt_tokens": F.lit(10**6).cast("bigint"), "turn_id": F.lit("stale")}).where("hour_local < 12")
+    T.write_requests(rows.where(early & ~again).unionByName(stale), folder)
+    update_levels(spark, folder, home)
+    T.write_requests(rows.where(~early), folder)
+    update_levels(spark, folder, home)
+    T.replace_by_source(spark, folder, stale.select("source_path"), rows.where(again))
+    update_levels(spark, folder, home)
+    return read_updated(spark, home, build_registry(requests(spark, sf)))
+
+
+@query("l01_followed_turns", sql("select * from turn", "turn"))
+def followed_turns(spark, sf):
+    return followed(spark, sf)["turn"]
+
+
+@query("l02_followed_threads", sql("select * from thread", "thread"))
+def followed_threads(spark, sf):
+    return followed(spark, sf)["thread"]
+
+
+@query("l03_followed_users", sql("select * from usr", "usr"))
+def followed_users(spark, sf):
+    return followed(spark, sf)["user"]
+
+
 @query("l04_build_registry", sql("select * from reg", "reg"))
 def registry(spark, sf):
     return build_registry(requests(spark, sf))

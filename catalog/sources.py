@@ -11,16 +11,17 @@ from catalog.scalars import K
 from catalog.views import level_tables, requests, sql, table
 from usagelens.contract import REQUEST_SCHEMA
 from usagelens.functions.variant import json_get
-from usagelens.operators.dedupe import dedupe, dedupe_against, replace_rows
-from usagelens.operators.heavy import staged
-from usagelens.plans.ingest import ingest_summary
+from usagelens.operators.dedupe import dedupe, dedupe_against, drop_keys, replace_rows
+from usagelens.plans.ingest import ingest_summary, write_kept, write_read
 from usagelens.plans.metrics.runner import run_metrics
 from usagelens.plans.overview import overview
 from usagelens.sources import manifest as M
 from usagelens.sources import raw as R
 from usagelens.sources import tables as T
 from usagelens.sources.flatten import flatten
+from usagelens.sources.keys import add_keys, stored_keys
 from usagelens.sources.paths import scratch_dir
+from usagelens.sources.snapshots import versions
 
 BROKEN_TEXT = """case event_id % 10 when 0 then concat('{"k": ', k) when 1 then '[1, 2]' when 2 then '"text"' else concat('{"k": ', k, '}') end"""
 
@@ -116,6 +117,17 @@ def pending(spark, sf):
     return M.select_pending(files(spark, sf), known(spark, sf)).select("source_path", "file_size")
 
 
+@query("a04_read_pending", "select cast(s_suppkey as bigint) s_suppkey, s_name from supplier where s_suppkey % 3 = 0 or s_suppkey % 5 = 0")
+def read_pending(spark, sf):
+    """A backfill: every third file is new and every fifth has another size; these are read, and no others."""
+    root = supplier_files(spark, sf)
+    key = F.regexp_extract("source_path", r"^s_suppkey=(\d+)/", 1).cast("bigint")
+    listed = R.list_files(spark, root)
+    size = F.when(key % 5 == 0, F.col("file_size") + 1).otherwise(F.col("file_size"))
+    pending = M.select_pending(listed, listed.where(key % 3 != 0).withColumn("file_size", size))
+    return R.read_raw(spark, root, only=pending).select(key.alias("s_suppkey"), json_get("v", "s_name").alias("s_name"))
+
+
 @query("a05_manifest_upsert", f"select cast(doc_id as varchar) source_path, n_chars file_size, case when {PENDING} then 'new' else 'old' end pipeline_version from documents")
 def upsert(spark, sf):
     manifest = known(spark, sf)
@@ -137,14 +149,31 @@ def in_batch(spark, sf):
     return dedupe(rows, "id", "event_id").select("event_id", "id", "value")
 
 
-@query("a07_dedupe_against", """
-select l_orderkey, l_linenumber, k from (select *, case when l_linenumber <> 3 then l_orderkey end k from lineitem) where k is null or k not in (select o_orderkey from orders where o_orderstatus = 'F')""")
+NOT_STORED = """
+select l_orderkey, l_linenumber, k from (select *, case when l_linenumber <> 3 then l_orderkey end k from lineitem) where k is null or k not in (select o_orderkey from orders where o_orderstatus {})"""
+
+
+def keyed_lines(spark, sf):
+    return table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "case when l_linenumber <> 3 then l_orderkey end as k")
+
+
+@query("a07_dedupe_against", NOT_STORED.format("= 'F'"))
 def against(spark, sf):
-    rows = table(spark, sf, "lineitem").selectExpr(
-        "l_orderkey", "l_linenumber", "case when l_linenumber <> 3 then l_orderkey end as k"
-    )
     stored = table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("k"))
-    return dedupe_against(rows, stored, "k")
+    return dedupe_against(keyed_lines(spark, sf), stored, "k")
+
+
+@query("a07_key_index", NOT_STORED.format("in ('F', 'P')"))
+def against_index(spark, sf):
+    """Stored ids in buckets: two commits, the second of which drops a source of the first."""
+    folder = scratch_dir(spark, "keys")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("source"))
+    commits = ()
+    for status, dropped in (("FO", None), ("P", orders.where("source = 'O'").select("source"))):
+        commits += (add_keys(orders.where(F.col("source").isin(*status)), folder, "key", "source", commits, dropped),)
+    rows = keyed_lines(spark, sf)
+    asked = rows.where("k is not null").select(F.col("k").alias("_k")).distinct()
+    return drop_keys(rows, stored_keys(spark, folder, asked, commits), "k")
 
 
 @query("a08_replace_rows", """
@@ -183,6 +212,25 @@ def replace_table(spark, sf):
     return _by_date(T.read_requests(spark, folder))
 
 
+@query("a08_snapshot_history", sql("""
+select 1 version, count(*) n, count(distinct username) users from req union all
+select 2, count(*), count(distinct username) from req where username <> 'user0003' union all
+select 3, count(*) + count(case when username = 'user0003' then 1 end), count(distinct username) from req""", "req"))
+def history(spark, sf):
+    """Three states of one table: all rows, one source deleted, and that source and more rows added in one commit."""
+    folder = stored_requests(spark, sf)
+    gone = F.lit("logs/user0003").alias("source_path")
+    rows = T.read_requests(spark, folder)
+    T.replace_by_source(spark, folder, spark.range(1).select(gone))
+    again = rows.where("username = 'user0003'").withColumn("source_path", F.lit("logs/again"))
+    T.replace_by_source(spark, folder, spark.range(1).select(gone), again.unionByName(again))
+    found = None
+    for version in versions(spark, folder):
+        one = T.read_requests(spark, folder, version).agg(F.lit(version).alias("version"), F.count("*").alias("n"), F.count_distinct("username").alias("users"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def _by_date(rows):
     return rows.groupBy("date_local").agg(F.count("*").alias("n"), F.count_distinct("request_id").alias("n_ids"))
 
@@ -272,11 +320,12 @@ from ({LAST})""")(lambda spark, sf: T.coverage_lookup(summaries(spark, sf)))
 @query("a18_ingest_report", sql("""
 select count(*) processed, cast(0 as bigint) failed, count(*) "rows", count(distinct date_local) partitions, min(ts_local) ts_min, max(ts_local) ts_max, cast(0 as bigint) duplicates from req""", "req"))
 def report(spark, sf):
-    """Flatten all documents, drop repeated ids and report the batch."""
+    """Flatten all documents, drop repeated ids and report the batch from what the two writes observed."""
     checked = R.with_error(as_documents(spark, sf))
-    rows = staged(flatten(checked, F.lit(None).cast("timestamp"), keep=("_error",)))
-    kept = dedupe(rows.select(*REQUEST_SCHEMA.names), "request_id", "source_path")
-    return ingest_summary(rows, kept)
+    read = write_read(flatten(checked, F.lit(None).cast("timestamp"), keep=("_error",)))
+    kept = write_kept(dedupe(read.rows.select(*REQUEST_SCHEMA.names), "request_id", "source_path"))
+    summary = ingest_summary(read, kept).drop("scanned", "skipped", "reprocessed", "replaced_rows")
+    return summary.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts_min", "ts_max")})
 
 
 @query("a19_overview", sql("""

@@ -20,17 +20,26 @@ def dedupe(df: DataFrame, key: str, order: str) -> DataFrame:
     return kept.unionByName(df.where(F.col(key).isNull()))
 
 
+#: Rows without a key are spread over so many join keys that match nothing.
+_SPREAD = 1024
+
+
+def drop_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not in ``keys`` (_k); rows without a key stay, spread evenly. ``df`` is read once."""
+    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(_SPREAD))).otherwise(-1)
+    named = df.withColumn("_spread", spread).join(keys.select("_k", F.lit(-1).cast("bigint").alias("_s")), (F.col(key) == F.col("_k")) & (F.col("_spread") == F.col("_s")), "left_anti")
+    return named.select(*df.columns)
+
+
 def dedupe_against(df: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Drop rows whose key is stored already; rows without a key stay and take no part in the join.
 
     The stored keys are first cut down to those of the batch, so that the cost follows the batch: they are read, but only
-    what the batch has again is joined with its rows. ``df`` is read three times.
+    what the batch has again is joined with its rows. ``df`` is read twice. See ``keys`` for stored keys in buckets.
     """
-    keyed = df.where(F.col(key).isNotNull())
-    fresh = keyed.select(F.col(key).alias("_k")).distinct()
+    fresh = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_k")).distinct()
     hits = existing.select(F.col(key).alias("_k")).join(fresh, "_k", "left_semi").distinct()
-    kept = keyed.join(hits, F.col(key) == F.col("_k"), "left_anti")
-    return kept.unionByName(df.where(F.col(key).isNull()))
+    return drop_keys(df, hits, key)
 
 
 def replace_rows(existing: DataFrame, fresh: DataFrame, source: str) -> DataFrame:

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagelens import settings
-from usagelens.contract import PREDICATES, REQUEST_FIELDS, Field
+from usagelens.contract import PARTITION_COLUMN, PREDICATES, REQUEST_FIELDS, Field
 from usagelens.functions.scalars import client_type
 from usagelens.functions.times import wall_clock
 from usagelens.operators.counts import unseen_values
 from usagelens.operators.literals import value_rows
 from usagelens.operators.quantiles import exact_quantiles
+from usagelens.sources.snapshots import partition_folders
 
 ROW = "(row)"
 KNOWN = {
@@ -97,6 +99,36 @@ def schema_violations(df: DataFrame, fields: Sequence[Field] = REQUEST_FIELDS) -
     return found
 
 
+def _folder_violations(spark: SparkSession, places: Sequence[str], fields: Sequence[Field]) -> set[tuple[str, str]]:
+    """What is wrong with the columns of the files in some folders. Spark merges their footers; rows are not read."""
+    reader = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true")
+    try:
+        return set(schema_violations(reader.parquet(*places), fields))
+    except Exception as error:  # noqa: BLE001 - any failure to merge has the same answer
+        if "MERGE" not in str(error).upper():
+            raise
+        # Files that contradict each other are looked at one by one.
+        files = [r.file for r in reader.format("binaryFile").load(list(places)).select(F.col("path").alias("file")).collect()]
+        return {v for f in files if f.endswith(".parquet") for v in schema_violations(spark.read.parquet(f), fields)}
+
+
+def schema_drift(
+    spark: SparkSession, folder: str, fields: Sequence[Field] = REQUEST_FIELDS, column: str = PARTITION_COLUMN, at_once: int = 8
+) -> DataFrame:
+    """(partition_value, column, check): partitions of a stored table whose files have other columns than declared.
+
+    The schema of a DataFrame tells only what was asked for; this compares the footers of each partition's files. Partitions
+    are looked at ``at_once`` at a time. The partition column is not in the files and is not compared. An empty table has no
+    rows.
+    """
+    inside = [f for f in fields if f.name != column]
+    by_value = partition_folders(spark, folder, column)
+    with ThreadPoolExecutor(at_once) as pool:
+        found = pool.map(lambda places: _folder_violations(spark, places, inside), by_value.values())
+        rows = [(value, c, check) for value, wrong in zip(by_value, found) for c, check in sorted(wrong)]
+    return spark.createDataFrame(rows, "partition_value string, column string, check string")
+
+
 def violations(
     df: DataFrame,
     fields: Sequence[Field] = REQUEST_FIELDS,

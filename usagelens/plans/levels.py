@@ -25,7 +25,7 @@ _TOKENS = ("prompt_tokens", "completion_tokens", "cached_tokens")
 _COUNTERS = ("message_count", "user_message_count", "assistant_message_count")
 
 
-def _errors() -> Column:
+def errors() -> Column:
     return F.count_if(is_error(F.col("status_code"), settings.ERROR_STATUS_FLOOR))
 
 
@@ -36,13 +36,20 @@ def build_turn(requests: DataFrame, min_rows: int | None = settings.HEAVY_ROWS)
     exchange; only piece summaries travel on. A turn of ordinary size is a single piece.
     """
     rows, _ = pieces(requests.where(F.col("turn_id").isNotNull()), "turn_id", "ts_utc", min_rows)
+    return merge_turns(turn_parts(rows))
+
+
+_TURN_FIRSTS = ("thread_id", "username", "client_type", "reasoning_effort", "tool_count", "tool_types")
+
+
+def turn_parts(rows: DataFrame, *keep: str) -> DataFrame:
+    """One row per (turn, piece, ``keep``) of requests with a piece: what can be merged, and the counter at both ends."""
     at = F.struct("ts_utc", "request_id")
-    firsts = ("thread_id", "username", "client_type", "reasoning_effort", "tool_count", "tool_types")
-    per_piece = (
+    return (
         rows.withColumn("_drop", drop_flag("message_count", "turn_id", "ts_utc", "request_id"))
-        .groupBy("turn_id", PIECE)
+        .groupBy("turn_id", PIECE, *keep)
         .agg(
-            *[first_non_null(F.col(c), at).alias(c) for c in firsts],
+            *[first_non_null(F.col(c), at).alias(c) for c in _TURN_FIRSTS],
             F.min("ts_utc").alias("_from"),
             F.max("ts_utc").alias("_to"),
             F.min("ts_local").alias("ts_first"),
@@ -55,16 +62,20 @@ def build_turn(requests: DataFrame, min_rows: int | None = settings.HEAVY_ROWS)
             F.max("latency_ms").alias("latency_ms_max"),
             *[F.max(c).alias(c) for c in _COUNTERS],
             F.collect_set("model_family").alias("_families"),
-            _errors().alias("n_errors"),
+            errors().alias("n_errors"),
             any_of(F.col("usage_missing")).alias("has_usage_missing"),
         )
     )
+
+
+def merge_turns(per_piece: DataFrame) -> DataFrame:
+    """Turns of ``turn_parts``; pieces follow each other in the order of their names."""
     drops = F.sum(F.col("_drops") + F.col("_seam"))
     turns = (
         per_piece.withColumn("_seam", seam_flag("turn_id"))
         .groupBy("turn_id")
         .agg(
-            *[first_non_null(F.col(c), F.col(PIECE)).alias(c) for c in firsts],
+            *[first_non_null(F.col(c), F.col(PIECE)).alias(c) for c in _TURN_FIRSTS],
             F.min("ts_first").alias("ts_first"),
             F.max("ts_last").alias("ts_last"),
             duration_ms(F.min("_from"), F.max("_to")).alias("duration_ms"),
@@ -114,7 +125,7 @@ def build_thread(requests: DataFrame) -> DataFrame:
         join_unique(F.col("model_family")).alias("model_family_set"),
         join_unique(F.col("endpoint")).alias("endpoint_set"),
         union_csv(F.col("tool_types")).alias("tool_types_union"),
-        _errors().alias("n_errors"),
+        errors().alias("n_errors"),
         join_unique(F.col("error_code")).alias("error_codes"),
     )
     peaks = [F.col(f"{c}_peak") for c in _COUNTERS]
@@ -143,7 +154,7 @@ def build_user(requests: DataFrame, registry: DataFrame) -> DataFrame:
         F.min("ts_local").alias("ts_first"),
         F.max("ts_local").alias("ts_last"),
         *[F.sum(c).alias(c) for c in _TOKENS],
-        _errors().alias("n_errors"),
+        errors().alias("n_errors"),
     )
     totals = per_day.groupBy("username").agg(
         F.sum("n_requests").alias("n_requests"),

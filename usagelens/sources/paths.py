@@ -43,12 +43,6 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def delete_folder_of(spark: SparkSession, file_uri: str) -> None:
-    """Delete the folder that holds a file, given the file's encoded location."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file_uri)).getParent()
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def rename(spark: SparkSession, source: str, target: str) -> None:
     fs, p = file_system(spark, source)
     if not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(target)):

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.sources.paths import file_system
 
 _JSON = "*.json"
-# Signs that a path pattern would interpret.
-_GLOB_SIGN, _ESCAPED = re.compile(r"([\[\]{}*?\\])"), r"\\\1"
+#: Marks of a set of paths: at most so many bits, and so many for each path while that is less.
+_MARKS, _MARKS_EACH = 1 << 22, 16
 
 
 def source_path(root_path: str, file_path: Column | str = "_metadata.file_path") -> Column:
@@ -60,29 +58,70 @@ def parse(text: Column | str) -> Column:
     return F.from_json(text, "variant", _PARSE)
 
 
-def read_raw(spark: SparkSession, root: str, modified_after: str | None = None, only: Sequence[str] | None = None) -> DataFrame:
+def marks(paths: DataFrame) -> np.ndarray:
+    """A bit for the hash of each source path, as bytes: a set of any number of paths in bounded space."""
+    wanted = paths.count() * _MARKS_EACH
+    bits = 64
+    while bits < min(wanted, _MARKS):
+        bits *= 2
+    words = paths.select(F.expr(f"cast(pmod(xxhash64(source_path), {bits}) as int)").alias("at")).selectExpr("at div 64 as word", "shiftleft(1L, at % 64) as bit")
+    found = np.zeros(bits // 64, "<i8")
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        found[r["word"]] = r["bits"]
+    return found.view(np.uint8)
+
+
+def _marked(path: Column, found: np.ndarray) -> Column:
+    """Whether the bit of a path is set. It only looks at the path, so that Spark decides it while listing files."""
+    at = F.pmod(F.xxhash64(path), F.lit(len(found) * 8))
+    byte = F.substring(F.lit(bytearray(found.tobytes())), F.floor(at / 8).cast("int") + 1, F.lit(1))
+    return F.call_function("shiftright", F.conv(F.hex(byte), 16, 10).cast("int"), (at % 8).cast("int")) % 2 == 1
+
+
+def read_raw(spark: SparkSession, root: str, modified_after: str | None = None, only: DataFrame | None = None) -> DataFrame:
     """(source_path, file_mtime, file_size, text, v): every raw file as one parsed record.
 
-    Files up to ``modified_after`` are skipped while listing and never opened; with ``only``, just the files of these
-    source paths are listed and opened. ``v`` is null where the text is not JSON. Of a key that an object repeats, the last
-    value counts; for this the session setting for repeated keys is switched on.
+    Files up to ``modified_after`` are skipped while listing and never opened. With ``only`` (source_path), just the files of
+    these paths are read: bits of their hashes decide while listing which files are opened, and a join before parsing, by
+    the size of ``only``, removes the few others that share a bit. The paths stay a table, however many there are; the
+    driver holds half a megabyte of bits at most. ``v`` is null where the text is not JSON. Of a key that an object repeats,
+    the last value counts; for this the session setting for repeated keys is switched on.
     """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _JSON)
     if modified_after is not None:
         reader = reader.option("modifiedAfter", modified_after)
-    places = root if only is None else [f"{root.rstrip('/')}/{_GLOB_SIGN.sub(_ESCAPED, p)}" for p in only]
     # wholetext has to be an argument: as an option the argument's default overrides it.
-    files = reader.text(places, wholetext=True)
+    files = reader.text(root, wholetext=True)
+    if only is not None:
+        files = files.where(_marked(source_path(_root(spark, root)), marks(only)))
+    files = _described(files, root)
+    if only is not None:
+        files = files.join(only.select("source_path"), "source_path", "left_semi")
+    return parsed(files)
+
+
+def _described(files: DataFrame, root: str) -> DataFrame:
     return files.select(
-        source_path(_root(spark, root)).alias("source_path"),
+        source_path(_root(files.sparkSession, root)).alias("source_path"),
         F.col("_metadata.file_modification_time").alias("file_mtime"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("value").alias("text"),
-        parse("value").alias("v"),
     )
 
 
+def parsed(files: DataFrame) -> DataFrame:
+    """Texts of files with ``v``, the parsed document."""
+    return files.withColumn("v", parse("text"))
+
+
+def stream_raw(spark: SparkSession, root: str, files_per_batch: int) -> DataFrame:
+    """(source_path, file_mtime, file_size, text) of the files of a folder tree as a stream, each once."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    reader = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", _JSON).option("maxFilesPerTrigger", files_per_batch)
+    return _described(reader.text(root, wholetext=True), root)
+
+
 def with_error(raw: DataFrame) -> DataFrame:
     """Add ``_error`` struct(error_type, error_message), null for a record that is a JSON object."""
     # The text parsed, so its first character tells an object from anything else.

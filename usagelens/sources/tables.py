@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 from usagelens.contract import PARTITION_COLUMN, REQUEST_SCHEMA
 from usagelens.functions.scalars import percent1
 from usagelens.operators.counts import latest_by
-from usagelens.sources.paths import delete, delete_folder_of, exists, scratch_dir
+from usagelens.sources.keys import add_keys, stored_keys
+from usagelens.sources.paths import exists
+from usagelens.sources.snapshots import Snapshot, adopt, current, is_snapshot_table, read_snapshot, rewrite
 
 REGISTRY_SCHEMA = (
     "username string, account_type string, account_masked string, degree string, entry_year string, "
@@ -18,26 +20,96 @@ REGISTRY_SCHEMA = (
 LEVELS = ("turn", "thread", "user")
 
 
-def write_partitioned(df: DataFrame, folder: str, column: str, mode: str = "append") -> None:
-    """Write by a partition column with files of even size, however uneven the partitions are."""
-    spread = df.hint("rebalance", column)
-    spread.write.partitionBy(column).mode(mode).option(
-        "partitionOverwriteMode", "dynamic"
-    ).parquet(folder)
+def write_requests(df: DataFrame, folder: str) -> None:
+    """Add rows to the request table in one atomic commit. An index of ids that the table may have no longer counts."""
+    base = current(df.sparkSession, folder)
+    rewrite(df.sparkSession, folder, REQUEST_SCHEMA, PARTITION_COLUMN, fresh=df, base=base, notes=_batches(base))
 
 
-def write_requests(df: DataFrame, folder: str) -> None:
-    write_partitioned(df, folder, PARTITION_COLUMN)
+def requests_at(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """The request table as of its newest snapshot or an older one; no rows if there is none yet.
 
+    A table that was written without snapshots is read as it lies.
+    """
+    if is_snapshot_table(spark, folder):
+        return read_snapshot(spark, folder, REQUEST_SCHEMA, PARTITION_COLUMN, version)
+    if not exists(spark, folder):
+        return spark.createDataFrame([], REQUEST_SCHEMA)
+    return spark.read.schema(REQUEST_SCHEMA).parquet(folder).select(*REQUEST_SCHEMA.names)
 
-def read_requests(spark: SparkSession, folder: str) -> DataFrame:
+
+def read_requests(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
     """The request table with its declared types; the date stays text."""
     if not exists(spark, folder):
         raise FileNotFoundError(f"there is no request table at {folder}: ingest raw logs first")
-    table = spark.read.schema(REQUEST_SCHEMA).parquet(folder)
+    table = requests_at(spark, folder, version)
     if table.isEmpty():
         raise FileNotFoundError(f"the request table at {folder} has no rows: ingest raw logs first")
-    return table.select(*REQUEST_SCHEMA.names)
+    return table
+
+
+#: Commits that the index of stored ids takes before it is built anew.
+INDEX_COMMITS = 100
+_BATCH = "batch"
+
+
+def _key_commits(base: Snapshot) -> tuple[str, ...]:
+    return tuple(n for n in base.notes if not n.startswith(f"{_BATCH} "))
+
+
+def _batches(base: Snapshot, but: str | None = None) -> tuple[str, ...]:
+    """Notes (batch, number, stream) of the last micro-batch of each stream."""
+    return tuple(n for n in base.notes if n.startswith(f"{_BATCH} ") and n.split(" ", 2)[2] != but)
+
+
+def last_batch(base: Snapshot, stream: str) -> int:
+    """Number of the last micro-batch of a stream that the table holds; -1 if none."""
+    return max((int(n.split(" ", 2)[1]) for n in _batches(base) if n.split(" ", 2)[2] == stream), default=-1)
+
+
+def prepare_requests(spark: SparkSession, folder: str) -> Snapshot:
+    """The state that a commit starts from. A table without snapshots is taken over first."""
+    if not is_snapshot_table(spark, folder) and exists(spark, folder):
+        return adopt(spark, folder, PARTITION_COLUMN)
+    return current(spark, folder)
+
+
+def stored_ids(spark: SparkSession, folder: str, base: Snapshot, ids: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """(_k): those of ``ids`` that the table holds in rows of other sources than ``again`` (source_path).
+
+    They are looked up in the index of stored ids; a table without one is read.
+    """
+    commits = _key_commits(base)
+    if base.folders and not commits:
+        table = requests_at(spark, folder, base.version)
+        if again is not None:
+            table = table.join(again.select("source_path"), "source_path", "left_anti")
+        return table.select(F.col("request_id").alias("_k")).join(ids, "_k", "left_semi").distinct()
+    return stored_keys(spark, folder, ids, commits, None if again is None else again.select(F.col("source_path").alias("source")))
+
+
+def commit_requests(
+    spark: SparkSession, folder: str, base: Snapshot, fresh: DataFrame | None, again: DataFrame | None = None, batch: tuple[str, int] | None = None
+) -> int:
+    """Add ``fresh`` and delete the rows of ``again`` (source_path), rows and stored ids in one step; returns how many were deleted.
+
+    The index of ids starts with the first commit, or with all stored rows where it is missing, and is built anew when it has
+    taken many commits. ``batch`` (stream, number) is noted with it.
+    """
+    if fresh is None and again is None:
+        return 0
+    commits = _key_commits(base)
+    indexed = fresh if fresh is not None else spark.createDataFrame([], REQUEST_SCHEMA)
+    whole = bool(base.folders) and not 0 < len(commits) < INDEX_COMMITS
+    if whole:
+        kept = requests_at(spark, folder, base.version)
+        kept = kept if again is None else kept.join(again.select("source_path"), "source_path", "left_anti")
+        indexed = indexed.select("request_id", "source_path").unionByName(kept.select("request_id", "source_path"))
+    before = () if whole else commits
+    notes = (*before, add_keys(indexed, folder, "request_id", "source_path", before, again if before else None))
+    notes += _batches(base, batch and batch[0])
+    notes += (f"{_BATCH} {batch[1]} {batch[0]}",) if batch else ()
+    return rewrite(spark, folder, REQUEST_SCHEMA, PARTITION_COLUMN, fresh, again, base=base, notes=notes)
 
 
 def row_count(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,39 +122,21 @@ def replace_by_source(
     spark: SparkSession,
     folder: str,
     paths: DataFrame,
+    fresh: DataFrame | None = None,
     source: str = "source_path",
     column: str = PARTITION_COLUMN,
+    schema: T.StructType = REQUEST_SCHEMA,
 ) -> int:
-    """Delete the rows of re-read files and return how many there were.
+    """Delete the rows of re-read files and add ``fresh`` in one atomic commit; returns how many rows were deleted.
 
-    Only the partitions that hold such rows are rewritten. Survivors are staged in the shared folder
-    first, because a table cannot be overwritten while it is read; partitions left empty are dropped.
+    Only the partitions that hold such rows are rewritten, beside those that are still read; see ``snapshots``.
     """
     if not exists(spark, folder):
         return 0
-    again = paths.select(source).distinct()
-    table = spark.read.parquet(folder)
-    table = table.withColumn(column, F.col(column).cast("string"))
-    # One small row per partition value, never per file. A file tells the partition's folder as it is really named.
-    placed = table.select(source, column, F.col("_metadata.file_path").alias("_file"))
-    hit = placed.join(again, source, "left_semi").groupBy(column)
-    touched = hit.agg(F.count("*").alias("count"), F.max("_file").alias("file")).collect()
-    if not touched:
-        return 0
-    values = [r[column] for r in touched]
-    in_touched = F.col(column).isin([v for v in values if v is not None])
-    if None in values:
-        in_touched = F.coalesce(in_touched, F.lit(False)) | F.col(column).isNull()
-    staging = scratch_dir(spark, "survivors")
-    table.where(in_touched).join(again, source, "left_anti").write.parquet(staging)
-    survivors = spark.read.schema(table.schema).parquet(staging)
-    left = {r[column] for r in survivors.select(column).distinct().collect()}
-    write_partitioned(survivors, folder, column, "overwrite")
-    for r in touched:
-        if r[column] not in left:
-            delete_folder_of(spark, r["file"])
-    delete(spark, staging)
-    return sum(r["count"] for r in touched)
+    if not is_snapshot_table(spark, folder):
+        adopt(spark, folder, column)
+    base = current(spark, folder)
+    return rewrite(spark, folder, schema, column, fresh, paths, source, base, _batches(base))
 
 
 def write_levels(tables: dict[str, DataFrame], folder: str) -> None:
