@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from catalog.registry import query
 from catalog.views import level_tables, requests, sql
 from usagelens.operators.counts import top1_share
+from usagelens.operators.heavy import staged
 from usagelens.plans.disclosure import suppress
 from usagelens.plans.metrics import METRICS, run_metric
+from usagelens.plans.levels import build_concentration, build_thread, build_turn, build_user
 from usagelens.plans.metrics.anomalies import anomaly_facts, anomaly_owners, flagged_requests
+from usagelens.plans.metrics.model import MetricResult, MetricSpec
 from usagelens.plans.metrics.runner import run_metrics
 from usagelens.plans.metrics.volumes import orphan_profile
 from usagelens.sources.paths import scratch_dir
@@ -421,6 +424,32 @@ def summary(spark, sf):
     return run_metrics(tables, tables["rules"], scratch_dir(spark, "metrics"), "run-1")
 
 
+@query("n11_run_summary", sql(
+    "select name, n_total, n_covered, case when n_total > 0 then " + part("n_covered", "n_total") + " else 0 end coverage, 'success' status from ("
+    + " union all ".join(
+        f"select '{m}' name, count(*) filter (where {c[1]}) n_total, count(*) filter (where ({c[1]}) and ({c[2]})) n_covered from {c[0]}"
+        for m, c in COVERED.items() if c
+    ) + ") union all select 'stuck', null, null, null, 'failed'", "req", "turn", "thread", "usr"))
+def isolated(spark, sf):
+    """The stable columns of a run over stored levels in which one metric never ends and is cancelled alone."""
+    built = level_tables(spark, sf)
+    tables = {name: staged(built[name], name) for name in ("request", "registry")}
+    tables |= {"turn": staged(build_turn(tables["request"]), "turn"), "thread": staged(build_thread(tables["request"]), "thread")}
+    tables["user"] = staged(build_user(tables["request"], tables["registry"]), "user")
+    rules = staged(build_concentration(tables["request"], tables["registry"]), "rules")
+
+    def endless(t):
+        never = spark.range(10**16).where(F.xxhash64("id") == 7)
+        return MetricResult(never, t["request"].agg(F.count("*").alias("n_total"), F.count("*").alias("n_covered")))
+
+    stuck = MetricSpec("stuck", "?", "request", "request", "-", endless)
+    specs = {m: METRICS[m] for m, c in COVERED.items() if c}
+    folder = scratch_dir(spark, "metrics")
+    late = run_metrics(tables, rules, folder, "stuck", specs={"stuck": stuck}, limit=2.0)
+    done = run_metrics(tables, rules, folder, "all", specs=specs)
+    return done.unionByName(late).select("name", "n_total", "n_covered", "coverage", "status")
+
+
 @query("e18_top1_share", sql("""
 select endpoint, cast(sum(n) as bigint) n, count(*) n_users, arg_min(username, (-n, username)) top_user, max(n) top_n,
   cast(max(n) as double) / sum(n) top_share

@@ -38,7 +38,8 @@ def drop_missing(df: DataFrame, flag: str = "usage_missing") -> tuple[DataFrame,
 
 
 def turn_expansion_depth(t: Tables) -> MetricResult:
-    turns = t["turn"]
+    # The quantiles look for large groups first; written, so that the turns are built once for all passes.
+    turns = staged(t["turn"].select("n_requests", "has_compaction"), "turns")
     compacted = F.coalesce("has_compaction", F.lit(False))
     groups = F.array_compact(
         F.array(F.lit("all_turns"), F.when(~compacted, F.lit("excluding_compacted")))
