@@ -12,7 +12,9 @@ from usagelens.functions import scalars as S
 from usagelens.operators import counts as C
 from usagelens.operators.dedupe import dedupe_against
 from usagelens.operators.ordered import compaction_stats, gaps, position_in
+from usagelens.operators.heavy import staged
 from usagelens.operators.quantiles import exact_quantiles, quantile_table
+from usagelens.operators.sketches import DISTINCT_ERROR, RANK_ERROR, estimates, merge_sketches, part_sketches
 from usagelens.operators.rhythm import cadence
 from usagelens.plans.checks import KNOWN
 from usagelens.plans.metrics.derived import drop_missing, slice_statistics
@@ -206,6 +208,33 @@ def lengths(spark, sf):
     return quantile_table(table(spark, sf, "documents"), ["lang"], "n_chars")
 
 
+@query("e04_approx_distinct", "select l_returnflag flag, count(*) n, true near_suppliers, true near_parts from lineitem group by 1")
+def approx_distinct(spark, sf):
+    """Sketches by ship month, merged by flag: the estimates lie within the stated error of the exact counts."""
+    rows = table(spark, sf, "lineitem").withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
+    kept = staged(part_sketches(rows, ["l_returnflag"], "month", ["l_suppkey", "l_partkey"]), "sketches")
+    near = estimates(merge_sketches(kept, ["l_returnflag"]), ["l_returnflag"])
+    exact = rows.groupBy("l_returnflag").agg(F.count_distinct("l_suppkey").alias("s"), F.count_distinct("l_partkey").alias("p"))
+    both = near.join(exact, "l_returnflag")
+    within = [(F.abs(F.col(f"n_{c}") - F.col(e)) <= F.col(e) * DISTINCT_ERROR + 1).alias(name) for c, e, name in (("l_suppkey", "s", "near_suppliers"), ("l_partkey", "p", "near_parts"))]
+    return both.select(F.col("l_returnflag").alias("flag"), "n", *within)
+
+
+@query("e12_approx_quantiles", "select l_returnflag flag, q, true near from lineitem, (values (0.1), (0.5), (0.99)) v(q) group by 1, 2".replace("q, true", "cast(q as double) q, true"))
+def approx_quantiles(spark, sf):
+    """Sketches by ship month, merged by flag: each quantile's true ranks lie within the stated error of the rank asked for."""
+    rows = table(spark, sf, "lineitem").withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
+    kept = staged(part_sketches(rows, ["l_returnflag"], "month", values=["l_extendedprice"]), "sketches")
+    qs = (0.1, 0.5, 0.99)
+    near = estimates(merge_sketches(kept, ["l_returnflag"]), ["l_returnflag"], qs)
+    cells = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"l_extendedprice_p{round(q * 100)}").alias("v")) for q in qs]))
+    asked = near.select("l_returnflag", "n", cells.alias("c")).select("l_returnflag", "n", "c.*")
+    met = rows.select("l_returnflag", F.col("l_extendedprice").cast("double").alias("x")).join(asked, "l_returnflag")
+    ranks = met.groupBy("l_returnflag", "q", "n").agg(F.count_if(F.expr("x < v")).alias("below"), F.count_if(F.expr("x <= v")).alias("upto"))
+    off = F.greatest(F.col("below") / F.col("n") - F.col("q"), F.col("q") - F.col("upto") / F.col("n"))
+    return ranks.select(F.col("l_returnflag").alias("flag"), "q", (off <= RANK_ERROR).alias("near"))
+
+
 @query("e13_share_true", "select lang, avg(case when quality = 1 then 1.0::double when quality is not null then 0.0::double end) good from documents left join labels using (doc_id) group by 1")
 def share_true(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id", "left")
