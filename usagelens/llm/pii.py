@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -13,14 +14,15 @@ from pyspark.sql import functions as F
 from usagelens.llm.common import ROW, Stored, numbered
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+#: Rounds of learning at most; it ends before when nothing new is found.
+ROUNDS = 6
 #: A context is trusted if so much of what stands in it is of one kind, and so many different known ones do.
 MIN_CONFIDENCE = 0.85
 MIN_SEEDS = 5
-#: Unknown instances count towards a context's confidence at this rate of their own score.
-DAMPING = 0.5
-#: Characters on each side that contexts are taken from.
-_NEAR = 120
+#: What nothing is known of counts so much against a context.
+UNKNOWN = 0.2
+#: Of a mention: a string that may be an identifier, and one that has the form of one but fails its test.
+_OPEN, _FAILED = -1, -2
 
 # The patterns of the four kinds.
 _EMAIL_NAME = re.compile(r"[A-Za-z0-9._%+-]")
@@ -30,8 +32,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _DIGIT = re.compile(r"[0-9]")
-_CANDIDATE = re.compile(r"[0-9A-Za-z+(][0-9A-Za-z@._%+()-]*[0-9A-Za-z]")
+#: Groups of digits with single blanks between them, or a string without blanks.
+_CANDIDATE = re.compile(r"[+(]?[0-9](?:[0-9()./-]*[0-9)])?(?: \(?[0-9](?:[0-9()./-]*[0-9)])?)+|[0-9A-Za-z+(][0-9A-Za-z@._%+()-]*[0-9A-Za-z]")
 _WORD = re.compile(r"[^\W\d_]+")
+#: What may stand between a label and its value.
+_CUE = re.compile(r"[:=#][\x20\"']{0,3}\Z")
+_RUN = re.compile(r"([0-9]+)|([A-Za-z]+)")
 
 
 def _luhn(digits: str) -> bool:
@@ -87,40 +93,57 @@ def _shape(value: str) -> str:
     return "dotted" if value.count(".") > 1 else "digits"
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns that an identifier stands in: two words before it, or one on each side, and its shape.
+def _form(value: str) -> str:
+    """The finer shape: runs of digits by their length, runs of letters, and the signs between them."""
+    return "@" if "@" in value else _RUN.sub(lambda m: f"{len(m.group(1))}d" if m.group(1) else "a", value)
 
-    Without words before it there is none.
+
+def contexts(text: str, start: int, end: int, words: list[tuple[int, int]]) -> list[str]:
+    """Lexical patterns that an identifier stands in, from narrow to wide; ``words`` are all words of the text.
+
+    Two words before it, one on each side, a label before it (with a sign such as a colon), each with its shape; then, for want
+    of more, one word before or after it with its form. The ends of the text count as words.
     """
-    before = [w.lower() for w in _WORD.findall(text, max(0, start - _NEAR), start)][-2:]
-    after = _WORD.search(text, end, end + _NEAR)
-    shape = _shape(text[start:end])
-    out = []
-    if len(before) == 2:
-        out.append(f"{before[0]} {before[1]} <{shape}>")
-    if before and after:
-        out.append(f"{before[-1]} <{shape}> {after.group().lower()}")
+    value = text[start:end]
+    shape, form = _shape(value), _form(value)
+    i = bisect.bisect_right(words, (start, start))
+    while i and words[i - 1][1] > start:
+        i -= 1
+    j = bisect.bisect_left(words, (end, end))
+    b2, b1 = ((text[slice(*words[k])].lower() if k >= 0 else "^") for k in (i - 2, i - 1))
+    after = text[slice(*words[j])].lower() if j < len(words) else "$"
+    out = [f"{b2} {b1} <{shape}>", f"{b1} <{shape}> {after}", f"{b1} <{form}>", f"<{form}> {after}"]
+    if _CUE.search(text, max(0, start - 5), start):
+        out.append(f"{b1}: <{shape}>")
     return out
 
 
+def _fails(value: str) -> bool:
+    """Whether a string that is no base span has the form of an address or of a card number, and so is none."""
+    return bool(_IP.fullmatch(value) or _CARD.fullmatch(value) and 14 <= len(_DIGIT.findall(value)) <= 19)
+
+
 def mentions(text: str | None) -> list[tuple[int, int, int, str, list[str]]]:
-    """(start, end, kind or -1, instance, contexts) of what the base finds and of other strings that may be identifiers.
+    """(start, end, kind, instance, contexts) of what the base finds and of other strings that look like identifiers.
 
-    Those have four digits or more, or an at sign, and do not overlap a base span.
+    Those have four digits or more, or an at sign, and do not overlap a base span; their kind is _OPEN or _FAILED.
     """
     text = text or ""
-    known = base_spans(text)
-    out = [(s, e, k) for s, e, k in known]
+    out = base_spans(text)
     if "@" in text or _DIGIT.search(text):
-        i = 0
-        for m in _CANDIDATE.finditer(text):
-            value = m.group()
-            if "@" in value or len(_DIGIT.findall(value)) >= 4:
-                while i < len(known) and known[i][1] <= m.start():
-                    i += 1
-                if not any(s < m.end() and m.start() < e for s, e, _ in known[i : i + 4]):
-                    out.append((m.start(), m.end(), -1))
-    return [(s, e, k, _instance(text[s:e]), contexts(text, s, e)) for s, e, k in sorted(out)]
+        # Between the base spans; what touches one is part of it.
+        at, gaps = 0, []
+        for start, end, _ in out:
+            if start > at:
+                gaps.append((at, start))
+            at = max(at, end)
+        for lo, hi in [*gaps, (at, len(text))]:
+            for m in _CANDIDATE.finditer(text, lo, hi):
+                value, apart = m.group(), (m.start() > lo or not lo) and (m.end() < hi or hi == len(text))
+                if apart and ("@" in value or len(_DIGIT.findall(value)) >= 4):
+                    out.append((m.start(), m.end(), _FAILED if _fails(value) else _OPEN))
+    words = [m.span() for m in _WORD.finditer(text)] if out else []
+    return [(s, e, k, _instance(text[s:e]), contexts(text, s, e, words)) for s, e, k in sorted(out)]
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:
@@ -148,36 +171,44 @@ def _mention_rows(docs: DataFrame) -> DataFrame:
 def trusted_contexts(mentioned: DataFrame, store: Stored, rounds: int = ROUNDS) -> DataFrame:
     """(context, kind, confidence, seeds) of the contexts that tell what stands in them.
 
-    The graph links contexts with the different instances in them. Known instances score 1 for their kind. In each round a
-    context scores, for a kind, the mean score of its instances (one unknown more, so that few instances count for less),
-    and an unknown instance gets the best damped score of its contexts. Scores are aggregates over links: a context that a
-    third of all mentions share is summed up before it moves.
+    The graph links contexts with the different instances in them; what the base finds is known. In each round a context's
+    confidence in a kind is the share of known instances of that kind among all it holds: those of other kinds, and those
+    that fail a kind's test, count in full against it, unknown ones by UNKNOWN, and one more for good measure. Unknown instances in a trusted context are known from
+    the next round on, and so bring trust to further contexts, until a round finds nothing new. Shares are aggregates over links: a
+    context that a third of all mentions share is summed up before it moves.
     """
     links = mentioned.select("instance", "kind", F.explode("contexts").alias("context"))
     links = store.keep(links.groupBy("context", "instance").agg(F.max("kind").alias("kind")), "links")
-    sizes = links.groupBy("context").agg(F.count("*").alias("instances"))
-    seeds = mentioned.filter("kind >= 0").groupBy("instance").agg(F.max("kind").alias("kind"))
-    seeds = store.keep(seeds.select("instance", "kind", F.lit(1.0).alias("score"), F.lit(1).alias("seed")), "seeds")
-    scores = seeds
-    for last in [False] * (rounds - 1) + [True]:
-        met = links.select("context", "instance").join(scores, "instance")
-        sums = met.groupBy("context", "kind").agg(F.sum("score").alias("sum"), F.sum("seed").alias("seeds"))
-        rated = sums.join(sizes, "context").select("context", "kind", (F.col("sum") / (F.col("instances") + 1)).alias("confidence"), "seeds")
-        rated = store.keep(rated, "rated")
-        if last:
+    sizes = store.keep(links.groupBy("context").agg(F.count("*").alias("instances")), "sizes")
+    known = mentioned.filter(F.col("kind") != _OPEN).groupBy("instance").agg(F.max("kind").alias("kind"))
+    known, n_known = store.keep(known, "known"), -1
+    trusted = None
+    for _ in range(rounds):
+        met = links.select("context", "instance").join(known, "instance")
+        seeds = met.groupBy("context", "kind").agg(F.count("*").alias("seeds"))
+        seeds = store.keep(seeds, "seeds")
+        all_known = seeds.groupBy("context").agg(F.sum("seeds").alias("all_known"))
+        rated = seeds.filter((F.col("kind") >= 0) & (F.col("seeds") >= MIN_SEEDS)).join(all_known, "context").join(sizes, "context")
+        against = (F.col("all_known") - F.col("seeds")) + UNKNOWN * (F.col("instances") - F.col("all_known")) + 1
+        rated = rated.withColumn("confidence", F.col("seeds") / (F.col("seeds") + against))
+        trusted = store.keep(rated.filter(F.col("confidence") >= MIN_CONFIDENCE).select("context", "kind", "confidence", "seeds"), "trusted")
+        told = links.select("context", "instance").join(trusted, "context").join(known.select("instance"), "instance", "left_anti")
+        best = told.groupBy("instance").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "kind"))["kind"].alias("kind"))
+        known = store.keep(known.union(best), "known")
+        n_before, n_known = n_known, known.count()
+        if n_known == n_before:
             break
-        spread = links.select("context", "instance").join(rated.filter("seeds >= 2"), "context")
-        spread = spread.groupBy("instance", "kind").agg((F.max("confidence") * DAMPING).alias("score"))
-        unknown = spread.join(seeds.select("instance"), "instance", "left_anti").select("instance", "kind", "score", F.lit(0).alias("seed"))
-        scores = store.keep(seeds.union(unknown), "scores")
-    return rated.filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS))
+    return trusted
 
 
 def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ..): personal data by fixed patterns, and more by learned contexts.
 
     Bootstrapped extraction: what the fixed patterns find seeds a graph of contexts and instances, which Spark scores in
-    rounds; strings like identifiers that stand in a context of high confidence are taken for that context's kind. Base
+    rounds (``trusted_contexts``); strings like identifiers that stand in a context of high confidence are taken for that
+    context's kind, and are seeds themselves from then on. Contexts of equal confidence yield the kind that is listed first.
+    Candidates are strings with an at sign or four digits, with single blanks between groups of digits; others are never
+    found. Where contexts tell nothing, as in text whose words follow no pattern, nothing is learned. Base
     spans always stay; learned ones never overlap them. All texts are read whole, once.
 
     Null text is empty and has no spans. Rows that repeat a doc_id are rows of their own; copies of a text count once as
@@ -190,7 +221,7 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     rows = store.keep(_mention_rows(docs), "mentions")
     mentioned = rows.select(ROW, F.explode("mentions").alias("m")).select(ROW, "m.*")
     trusted = trusted_contexts(mentioned, store, rounds)
-    unknown = mentioned.filter("kind < 0").select(ROW, "start", "end", F.explode("contexts").alias("context"))
+    unknown = mentioned.filter(F.col("kind") == _OPEN).select(ROW, "start", "end", F.explode("contexts").alias("context"))
     rated = unknown.join(trusted.select("context", F.col("kind").alias("as_kind"), "confidence"), "context")
     best = rated.groupBy(ROW, "start", "end").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "as_kind"))["as_kind"].alias("kind"))
     learned = best.groupBy(ROW).agg(F.collect_list(F.struct("start", "end", "kind", F.lit(True).alias("learned"))).alias("more"))
