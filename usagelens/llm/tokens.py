@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 REMEMBERED = 300_000
 #: Pieces that are encoded together, and characters that are split together.
 _TOGETHER = 10_000
-SLICE_CHARS = 600_000
+SLICE_CHARS = 1_500_000
 ID_TYPE = "<u4"
 #: A byte that UTF-8 does not use.
 _MARK = b"\xff"
