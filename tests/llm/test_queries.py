@@ -43,6 +43,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter(str(r.doc_id) for r in docs.collect()).keys() == kept.keys()
 
 
+def test_pipeline_stages_on_an_empty_table(spark, tmp_path):
+    docs = stored(spark, tmp_path, [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, None)
+        assert out.collect() == [] and (name == "packing" or out.columns == docs.columns)
+
+
 def test_pipeline_run(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert rows and all(r.length <= 1024 for r in rows)

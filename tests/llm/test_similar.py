@@ -1,4 +1,5 @@
 import random
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from helpers import AWKWARD, stored
@@ -62,5 +63,25 @@ def test_awkward_rows(spark, tmp_path):
     assert sorted(str((r.doc_id, r.component_id)) for r in got) == sorted(str((d, ids[c])) for (d, *_), c in zip(AWKWARD, label))
 
 
+def test_recall_on_a_larger_table(spark):
+    """Every 50th document of 10,000 against all of them: no pair at 0.8 may be in two classes."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = {r.doc_id: r.component for r in similar_groups(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    asked = {i: shingles(t) for i, t in texts.items() if i % 50 == 0}
+    having = defaultdict(list)
+    for i, found in asked.items():
+        for s in found:
+            having[s].append(i)
+    pairs = 0
+    for j, text in texts.items():
+        mine = shingles(text)
+        for i, n in Counter(i for s in mine for i in having.get(s, ())).items():
+            if i != j and mine != asked[i] and n >= 0.8 * (len(mine) + len(asked[i]) - n):
+                pairs += 1
+                assert got[i] == got[j], (i, j)
+    assert pairs >= 20
+
+
 def test_empty_table(spark, tmp_path):
     assert similar_groups(stored(spark, tmp_path, [])).collect() == []
