@@ -3,6 +3,9 @@ from collections import Counter
 import pytest
 from helpers import AWKWARD, prose, stored
 
+from pyspark.sql import functions as F
+
+from usagelens.llm import mixing
 from usagelens.llm.mixing import mix, source_targets
 
 
@@ -55,5 +58,20 @@ def test_sources_come_near_their_targets(spark, tmp_path):
     assert all(int(rate[r.source] + 1e-9) <= r.copies <= int(rate[r.source] + 1 - 1e-9) + 1e-9 or r.copies == 3 for r in got)
 
 
+def test_equal_rows_spread_over_buckets(spark, tmp_path, monkeypatch):
+    """A third of all rows is one row again and again: no bucket grows with it, and its copies add up."""
+    largest, rounded = [], mixing._rounded
+    monkeypatch.setattr(mixing, "_rounded", lambda units: largest.append(units.groupBy("source", "bucket").count().agg(F.max("count")).first()[0]) or rounded(units))
+    rows = [(7, "one and the same text", "en", "hot")] * 2000 + [(None, "no id", "en", "hot")] * 500 + [(100 + i, prose(30, i), "en", f"s{i % 4}") for i in range(3000)]
+    got = mix(stored(spark, tmp_path, rows), fan_in=16).collect()
+    assert len(got) == len(rows) and max(n for n in largest if n) <= 4 * 16
+    for source in {r.source for r in got}:
+        mine = [r for r in got if r.source == source]
+        rate = mine[0].target / mine[0].source_size
+        # Rounding keeps the sum of copies, but for one unit that stays open.
+        assert abs(sum(r.copies for r in mine) - rate * len(mine)) <= 1
+        assert {r.copies for r in mine} <= {int(rate), int(rate) + 1, 3}
+
+
 def test_empty_table(spark, tmp_path):
     assert mix(stored(spark, tmp_path, [])).collect() == []

@@ -91,11 +91,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_rate: float =
     one is left in each source. Each transfer of probability keeps the sum of copies, so a source misses its target by
     about the size differences inside buckets, not by chance over all of it.
 
-    All that is random hashes the seed, the doc_id and the text, so that reruns agree.
+    All that is random hashes the seed, the doc_id and the text, and for rows that repeat both their number in the stored
+    files, so that reruns agree.
 
     Size is the number of words; null text has none. Null sources form one source, which comes last. Empty texts are never
     taken more than their source's rate, and add nothing. Null doc_ids compete like others. Rows that repeat a doc_id are
-    units of their own. An empty table gives no rows. Other columns are not read.
+    units of their own, and are dealt over the buckets even if they are equal. An empty table gives no rows. Other columns are not read.
 
     Returns _row, doc_id, source, size, source_size, target, copies, taken.
     """
@@ -120,7 +121,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_rate: float =
     plan = classes.join(rates, F.col("source").eqNullSafe(F.col("of"))).select(
         "of", F.col("size_class").alias("of_class"), "n_buckets", "first_bucket", "whole", "p", "source_size", "target"
     )
-    sized = rows.withColumn("size_class", size_class)
+    # Rows that repeat id and text draw by their number too, else they would all meet in one bucket.
+    repeated = store.keep(rows.groupBy("draw").agg(F.count("*").alias("n")).filter("n > 1").select("draw", F.lit(True).alias("again")), "repeated")
+    own = F.when(F.col("again"), F.xxhash64("draw", ROW)).otherwise(F.col("draw"))
+    sized = rows.join(repeated, "draw", "left").withColumn("draw", own).drop("again").withColumn("size_class", size_class)
     planned = sized.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("size_class") == F.col("of_class"))).select(
         ROW, "doc_id", "source", "size", "draw", "source_size", "target", "whole", "p",
         (F.col("first_bucket") + F.pmod(F.col("draw"), F.col("n_buckets"))).alias("bucket"),
