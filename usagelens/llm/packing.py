@@ -177,8 +177,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     again with their places. ids_crc32 is that of the ids as they are stored there.
     """
     store = Stored(docs.sparkSession)
-    pieces = store.keep(token_pieces(docs, tokenizer, capacity, end_id), "pieces", compression="zstd")
-    packed = store.keep(pack(pieces, capacity), "packed", compression="zstd")
+    pieces = store.keep(token_pieces(docs, tokenizer, capacity, end_id), "pieces")
+    packed = store.keep(pack(pieces, capacity), "packed")
     store.drop(pieces)
     return packed.select(ROW, "doc_id", "start", "length", "doc_tokens", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 

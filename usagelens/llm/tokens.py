@@ -6,7 +6,7 @@ import codecs
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain, compress
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -187,15 +187,18 @@ class Encoder:
     def _gather(self, pieces: pa.LargeBinaryArray, owner: np.ndarray, n: int) -> list[np.ndarray]:
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        known = list(map(self._known.get, distinct))
-        new = [p for p, code in zip(distinct, known) if code is None]
-        if new:
-            if len(self._known) + len(new) > REMEMBERED:
+        known = np.array(list(map(self._known.get, distinct, repeat(-1))), np.int64)
+        missing = known < 0
+        if missing.any():
+            new, learned = list(compress(distinct, missing)), len(self._known)
+            if learned + len(new) > REMEMBERED:
                 self._forget_rare()
-                new = [p for p in distinct if p not in self._known]
-            self._learn(new)
-            known = list(map(self._known.__getitem__, distinct))
-        known = np.array(known, np.int64)
+                self._learn([p for p in distinct if p not in self._known])
+                known = np.array(list(map(self._known.__getitem__, distinct)), np.int64)
+            else:
+                # New pieces are numbered on, in order.
+                self._learn(new)
+                known[missing] = np.arange(learned, learned + len(new))
         self._slices[known] += 1
         codes = known[coded.indices.to_numpy()]
         counts = self._count[codes]
