@@ -37,10 +37,15 @@ def raw_records(spark, sf):
 
 
 def supplier_files(spark, sf) -> str:
-    """Each supplier as a JSON file of its own in a folder of its own; returns the root."""
+    """Each supplier as a JSON file of its own in a folder of its own; returns the root.
+
+    The rows are few bytes but many files: with a number of tasks asked for, they are not merged into one task, and each
+    task moves its own files into place, not the driver those of all.
+    """
     folder = scratch_dir(spark, "raw")
     rows = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    rows.repartition("s_suppkey").write.partitionBy("s_suppkey").json(folder)
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s_suppkey")
+    dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("s_suppkey").json(folder)
     return folder
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,9 @@ from usagelens.sources.paths import file_system
 _JSON = "*.json"
 #: Marks of a set of paths: at most so many bits, and so many for each path while that is less.
 _MARKS, _MARKS_EACH = 1 << 22, 16
+_LISTERS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+#: Listing tasks for each core; Spark's own default is a task for each folder, up to 10,000.
+_LISTERS_EACH = 4
 
 
 def source_path(root_path: str, file_path: Column | str = "_metadata.file_path") -> Column:
@@ -25,14 +31,25 @@ def _root(spark: SparkSession, root: str) -> str:
     return fs.makeQualified(path).toUri().getPath()
 
 
+@contextmanager
+def _few_listers(spark: SparkSession) -> Iterator[None]:
+    """While a reader lists a tree, a task takes many folders: of a folder for each file, a task each costs more than it lists."""
+    before, wanted = spark.conf.get(_LISTERS, None), spark.sparkContext.defaultParallelism * _LISTERS_EACH
+    spark.conf.set(_LISTERS, str(wanted))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_LISTERS)
+        else:
+            spark.conf.set(_LISTERS, before)
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """(source_path, file_mtime, file_size) of every raw file; no content is read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", _JSON)
-        .load(root)
-    )
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _JSON)
+    with _few_listers(spark):
+        files = reader.load(root)
     return files.select(
         source_path(_root(spark, root)).alias("source_path"),
         F.col("modificationTime").alias("file_mtime"),
@@ -92,7 +109,8 @@ def read_raw(spark: SparkSession, root: str, modified_after: str | None = None,
     if modified_after is not None:
         reader = reader.option("modifiedAfter", modified_after)
     # wholetext has to be an argument: as an option the argument's default overrides it.
-    files = reader.text(root, wholetext=True)
+    with _few_listers(spark):
+        files = reader.text(root, wholetext=True)
     if only is not None:
         files = files.where(_marked(source_path(_root(spark, root)), marks(only)))
     files = _described(files, root)
