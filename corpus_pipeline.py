@@ -31,7 +31,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (shingles of five words, similarity of 0.8 or more) the smallest doc_id stays."""
+    """Of each class of near duplicates (shingles of five words, similarity of 0.8 or more) the smallest doc_id stays.
+
+    SimHash proposes, the similarity itself decides; what SimHash cannot see is sought as well (see ``similar_links``).
+    """
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW]
     return keep_rows(docs, similar_groups(docs).groupBy("component").agg(first.alias(ROW)))
 

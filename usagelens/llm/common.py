@@ -14,6 +14,9 @@ from usagelens.sources.paths import delete, scratch_dir
 #: White space is these six characters and no others, in every operator.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: A near duplicate of the corpus pipeline: shingles of five words, similarity of 0.8 or more.
+SHINGLE_WORDS = 5
+SIMILARITY = 0.8
 #: Number of a row within its stored table; tells rows apart whose doc_id repeats or is null.
 ROW = "_row"
 #: Of a row number, the bits that count within a file.

@@ -12,8 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import ROW, Stored, components, numbered
-from usagelens.llm.similar import SHINGLE_WORDS, SIMILARITY
+from usagelens.llm.common import ROW, SHINGLE_WORDS, SIMILARITY, Stored, components, numbered
 
 HASH_SEED = 42
 #: Bits that are counted at a time: bounds the memory of very long texts.

@@ -1,4 +1,4 @@
-"""Near duplicates by the exact similarity of their shingles; MinHash and a prefix filter only propose the pairs."""
+"""Near duplicates: SimHash proposes, the exact similarity of the shingles decides, MinHash and a prefix filter find the rest."""
 
 from __future__ import annotations
 
@@ -11,11 +11,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import ROW, Stored, components, numbered
+from usagelens.llm.common import ROW, SHINGLE_WORDS, SIMILARITY, Stored, components, numbered
+from usagelens.llm.simhash import fingerprints, near_links
 
-#: A near duplicate of the corpus pipeline: shingles of five words, similarity of 0.8 or more.
-SHINGLE_WORDS = 5
-SIMILARITY = 0.8
+#: SimHash as operator 6 has it: shingles of three words, 64 bits in two segments, balls of one bit, links of up to two bits.
+_PRINT_WORDS, _SEGMENT_BITS, _BALL, _DISTANCE = 3, 32, 1, 2
 #: A pair of similarity s shares no bucket with probability (1 - s ** _EACH) ** _BANDS: 3 in a million at 0.8.
 _BANDS, _EACH = 32, 5
 #: Rounds in which a bucket answers with one member, before what is left open is compared by its rarest shingles.
@@ -157,20 +157,39 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, store: Stored, similarity: f
     return _pair(found.select("node", F.col("other_node").alias("other")))
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, store: Stored, shingle_words: int, similarity: float) -> DataFrame:
+def print_pairs(nodes: DataFrame, docs: DataFrame, store: Stored) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node) that SimHash proposes: fingerprints that differ in two bits at most.
+
+    Of nodes with one fingerprint the smallest stands for all; each of the others meets it, and these meet by multi-index
+    hashing. So a fingerprint that very many nodes share costs what it has nodes.
+    """
+    prints = fingerprints(docs, _PRINT_WORDS).join(nodes.select(F.col("node").alias(ROW)), ROW, "left_semi")
+    prints = store.keep(prints.select(F.col(ROW).alias("node"), "bits"), "prints")
+    first = store.keep(prints.groupBy("bits").agg(F.min("node").alias("node")), "firsts")
+    same = prints.join(first.select("bits", F.col("node").alias("a")), "bits").filter("a != node").select("a", F.col("node").alias("b"))
+    return same.union(near_links(first, 1, _SEGMENT_BITS, _BALL, _DISTANCE))
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, store: Stored, shingle_words: int, similarity: float) -> DataFrame:
     """Verified pairs (a, b) of ``nodes`` (node, n, keys) whose components are those of all similar pairs in a bucket.
 
-    First each bucket answers with one member, so that a group of thousands of near copies costs what it has members. What
+    The pairs that SimHash proposes (see ``print_pairs``) are verified first, and their classes are the start. Copies with
+    small changes meet there; fingerprints of texts that are just similar enough differ in more bits, so the rest is sought
+    by MinHash. There, first each bucket answers with one member, so that a group of thousands of near copies costs what it has members. What
     that leaves open, members of buckets with several classes, is then compared by an exact prefix filter (see
     ``prefix_pairs``). Two members of one class need no comparison, as a link between them would change no class.
     """
     ratio = F.lit(similarity)
+    proposed = store.keep(print_pairs(nodes, docs, store), "proposed")
     at = store.keep(nodes.select(F.explode("keys").alias("key"), "node", "n"), "buckets")
     crowded = at.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    members = store.keep(at.join(crowded, "key").select("key", "node", "n", F.col("node").alias("component")), "members")
+    alone = store.keep(at.join(crowded, "key").select("key", "node", "n"), "members")
     store.drop(at)
-    sets = store.keep(_sets(texts, members, shingle_words), "sets")
-    links = None
+    wanted = alone.select("node").union(proposed.select("a")).union(proposed.select("b"))
+    sets = store.keep(_sets(numbered(docs, "text"), wanted, shingle_words), "sets")
+    links = store.keep(_verified(proposed, sets, similarity), "similar")
+    members = _classes(alone, links, store)
+    store.drop(alone)
     for round_ in range(_HUB_ROUNDS):
         open_ = members.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"),
@@ -182,7 +201,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, store: Stored, shingle_wor
         pairs = store.keep(_pair(met.select("node", F.col("hub.node").alias("other"))), "pairs")
         found = store.keep(_verified(pairs, sets, similarity), "similar")
         store.drop(pairs)
-        links = found if links is None else links.union(found)
+        links = links.union(found)
         before, members = members, _classes(members.drop("component"), links, store)
         store.drop(before)
     several = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
@@ -208,7 +227,7 @@ def similar_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similari
     rows = store.keep(_signatures(docs, shingle_words), "signatures")
     same = store.keep(rows.groupBy("digest").agg(F.min(ROW).alias("node")), "nodes")
     nodes = rows.join(same.select(F.col("node").alias(ROW)), ROW).select(F.col(ROW).alias("node"), "n", "keys")
-    links = similar_links(nodes, numbered(docs, "text"), store, shingle_words, similarity)
+    links = similar_links(nodes, docs, store, shingle_words, similarity)
     linked = components(links, store)
     classes = store.keep(same.join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component")), "classes")
     members = store.keep(rows.select(ROW, "doc_id", "digest").join(classes, "digest").drop("digest"), "classed")
