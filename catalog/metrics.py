@@ -320,6 +320,15 @@ COVERED = {
 }
 
 
+def stored_levels(spark, sf):
+    """The level tables and the rules, each written once: the metrics read them again and again."""
+    built = level_tables(spark, sf)
+    tables = {name: staged(built[name], name) for name in ("request", "registry")}
+    tables |= {"turn": staged(build_turn(tables["request"]), "turn"), "thread": staged(build_thread(tables["request"]), "thread")}
+    tables["user"] = staged(build_user(tables["request"], tables["registry"]), "user")
+    return tables, staged(build_concentration(tables["request"], tables["registry"]), "rules")
+
+
 @query("n03_metric_coverage", sql(
     "select name, n_total, n_covered, case when n_total > 0 then " + part("n_covered", "n_total") + " else 0 end coverage from ("
     + " union all ".join(
@@ -327,7 +336,7 @@ COVERED = {
         for m, c in COVERED.items() if c
     ) + ")", "req", "turn", "thread", "usr"))
 def coverage(spark, sf):
-    tables = level_tables(spark, sf)
+    tables, _ = stored_levels(spark, sf)
     rows = None
     for name in sorted(METRICS):
         if COVERED[name] is None:
@@ -420,8 +429,8 @@ def _shown(spark, sf):
 @query("n11_run_metrics")
 def summary(spark, sf):
     """Runs every metric and writes it; the summary names the folder-independent outcome."""
-    tables = level_tables(spark, sf)
-    return run_metrics(tables, tables["rules"], scratch_dir(spark, "metrics"), "run-1")
+    tables, rules = stored_levels(spark, sf)
+    return run_metrics(tables, rules, scratch_dir(spark, "metrics"), "run-1")
 
 
 @query("n11_run_summary", sql(
@@ -432,11 +441,7 @@ def summary(spark, sf):
     ) + ") union all select 'stuck', null, null, null, 'failed'", "req", "turn", "thread", "usr"))
 def isolated(spark, sf):
     """The stable columns of a run over stored levels in which one metric never ends and is cancelled alone."""
-    built = level_tables(spark, sf)
-    tables = {name: staged(built[name], name) for name in ("request", "registry")}
-    tables |= {"turn": staged(build_turn(tables["request"]), "turn"), "thread": staged(build_thread(tables["request"]), "thread")}
-    tables["user"] = staged(build_user(tables["request"], tables["registry"]), "user")
-    rules = staged(build_concentration(tables["request"], tables["registry"]), "rules")
+    tables, rules = stored_levels(spark, sf)
 
     def endless(t):
         never = spark.range(10**16).where(F.xxhash64("id") == 7)
