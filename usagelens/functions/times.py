@@ -10,12 +10,20 @@ _ISO = (
     r"^\d{4}-\d{2}-\d{2}"
     r"([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?([Zz]|[+-]\d{2}(:?\d{2})?)?)?$"
 )
+# The usual case, date and whole time: Spark reads it as it is, but for the missing or small Z.
+_WHOLE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})?\z"
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
 
 def parse_ts(text: Column) -> Column:
     """Instant of an ISO-8601 text. Without an offset it is UTC; anything else is null."""
     t = F.trim(text)
+    offset = F.substring(t, -6, 1).isin("+", "-")
+    whole = F.when(offset, t).otherwise(F.concat(F.rtrim(t, F.lit("Zz")), F.lit("Z")))
+    return F.when(t.rlike(_WHOLE), whole.try_cast("timestamp")).otherwise(_parse_any(t))
+
+
+def _parse_any(t: Column) -> Column:
     full = F.regexp_replace(t, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
     full = F.regexp_replace(full, r"^(\S{10})[T ](\d{2})(?=[Zz+-]|$)", "$1T$2:00")
     full = F.regexp_replace(full, r"^(\S{10})[T ](\d{2}:\d{2})(?=[Zz+-]|$)", "$1T$2:00")

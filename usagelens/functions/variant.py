@@ -5,6 +5,8 @@ A missing key, a JSON null and a step through something that is not an object al
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,26 @@ def json_first(v: Column | str, *paths: str) -> Column:
     return F.coalesce(*[json_node(v, p) for p in paths])
 
 
+def json_tree(v: Column | str, paths: Iterable[str], as_type: str) -> tuple[Column, Callable[[str], str]]:
+    """All values at the dotted paths in one pass over the document, as nested structs, and where a path lies in them.
+
+    One value is read as ``json_get`` reads it: null where a step meets no object or the cast does not apply. No path may
+    be the beginning of another one.
+    """
+    tree: dict = {}
+    for path in paths:
+        *heads, last = path.split(".")
+        at = tree
+        for head in heads:
+            at = at.setdefault(head, {})
+        at[last] = None
+
+    def ddl(at: dict) -> str:
+        return "struct<" + ", ".join(f"`{k}`: {as_type if below is None else ddl(below)}" for k, below in at.items()) + ">"
+
+    return F.try_variant_get(_column(v), "$", ddl(tree)), lambda path: ".".join(f"`{k}`" for k in path.split("."))
+
+
 def kind(node: Column) -> Column:
     """Type name of a sub-document, such as STRING, BIGINT, BOOLEAN, ARRAY<..>, OBJECT<..>."""
     return F.schema_of_variant(node)
@@ -38,6 +60,11 @@ def _as(node: Column, as_type: str) -> Column:
     return F.try_variant_get(node, "$", as_type)
 
 
+def is_object(node: Column) -> Column:
+    """Whether a sub-document is an object; none of its entries is looked at."""
+    return _as(node, "struct<>").isNotNull()
+
+
 def is_number(node: Column) -> Column:
     return kind(node).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
 
@@ -49,26 +76,44 @@ def to_text(node: Column) -> Column:
 
 def join_list(node: Column) -> Column:
     """A list as comma separated text ([] becomes ''); anything else as text."""
-    return F.coalesce(F.array_join(_as(node, "array<string>"), ",", "None"), to_text(node))
+    return joined(_as(node, "array<string>"), to_text(node))
 
 
-def to_long(node: Column) -> Column:
-    """Integers, truncated decimals and digit strings; booleans and the rest are null."""
-    text = F.trim(to_text(node))
-    return (
-        F.when(kind(node) == "STRING", F.when(text.rlike("^-?[0-9]+$"), text.try_cast("bigint")))
-        .when(is_number(node), F.coalesce(_as(node, "bigint"), _as(node, "double").try_cast("bigint")))
-    )
+def joined(entries: Column, text: Column) -> Column:
+    """Comma separated entries of a list; the text where there is none."""
+    return F.coalesce(F.array_join(entries, ",", "None"), text)
+
+
+def text_to_long(text: Column) -> Column:
+    """A digit string as an integer; the same for the text of any integer. Null does not mean that ``to_long`` is null."""
+    trimmed = F.trim(text)
+    return F.when(trimmed.rlike("^-?[0-9]+$"), trimmed.try_cast("bigint"))
 
 
 # A cast to double would also take a trailing type letter, as in 5f or 1d.
 _NUMERIC = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity|nan)$"
 
 
+def text_to_double(text: Column) -> Column:
+    """A numeric string, or the text of a number, as a double; the text of nothing else looks like a number."""
+    trimmed = F.trim(text)
+    return F.when(trimmed.rlike(_NUMERIC), trimmed.try_cast("double"))
+
+
+def text_to_bool(text: Column, number: Column) -> Column:
+    """A boolean from its text and its cast to bigint: only booleans read as true or false and have a number too."""
+    return F.when(text.isin("true", "false") & number.isNotNull(), text == "true")
+
+
+def to_long(node: Column) -> Column:
+    """Integers, truncated decimals and digit strings; booleans and the rest are null."""
+    number = F.coalesce(_as(node, "bigint"), _as(node, "double").try_cast("bigint"))
+    return F.coalesce(text_to_long(to_text(node)), F.when(is_number(node), number))
+
+
 def to_double(node: Column) -> Column:
     """Numbers and numeric strings; booleans are not numbers, nor is text with anything beside the number."""
-    text = F.trim(to_text(node))
-    return F.when(is_number(node) | ((kind(node) == "STRING") & text.rlike(_NUMERIC)), text.try_cast("double"))
+    return text_to_double(to_text(node))
 
 
 def to_bool(node: Column) -> Column:
@@ -86,8 +131,7 @@ def count_of(node: Column) -> Column:
     entries = F.coalesce(
         F.size(_as(node, "array<variant>")), F.size(_as(node, "map<string,variant>"))
     )
-    structured = kind(node).rlike("^(ARRAY|OBJECT)")
-    return F.when(structured, entries.cast("bigint")).otherwise(to_long(node))
+    return F.coalesce(entries.cast("bigint"), to_long(node))
 
 
 def error_text(v: Column | str, type_path: str, error_path: str) -> Column:
