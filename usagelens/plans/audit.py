@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from usagelens import settings
 from usagelens.contract import source_map
 from usagelens.functions.scalars import round4
-from usagelens.functions.variant import kind, to_text
+from usagelens.functions.variant import is_object, kind, to_text
 from usagelens.operators.heavy import staged
 from usagelens.operators.literals import value_rows
 from usagelens.sources.raw import hash_sample, split_bad
@@ -24,39 +24,45 @@ def walk_paths(df: DataFrame, key: str, v: str = "v", levels: int | None = None)
     """(key, path, kind, is_container, text): every path of every record, however deep.
 
     Objects are expanded, lists are leaves, {} is a container without leaves. Each step replaces an
-    object by itself as a container and its entries. Records of up to eight levels take one narrow pass; the entries
-    that are still open then are walked on until none is left. ``levels`` asks for a shallow overview instead: objects
-    below are shown as leaves of kind 'object'.
+    object by itself as a container and its entries. A record stays one row while its levels are opened, eight at once and
+    no more than it has; then its entries become rows. The entries that are still open then are walked on until none is
+    left. ``levels`` asks for a shallow overview instead: objects below are shown as leaves of kind 'object'.
     """
-    rows = df.select(
-        F.col(key).alias("key"),
-        F.struct(F.lit("").alias("path"), F.col(v).alias("node"), F.lit(True).alias("open")).alias("e"),
-    )
+    root = F.struct(F.lit("").alias("path"), F.col(v).alias("node"), F.lit(True).alias("open"))
+    rows = df.select(F.col(key).alias("key"), root.alias("e"))
     found = []
     while True:
-        for _ in range(levels or LEVELS_AT_ONCE):
-            # Never empty; the outer form keeps the optimizer from repeating the step in a filter.
-            rows = rows.select("key", F.explode_outer(_expand(F.col("e"))).alias("e"))
-        flat = staged(rows.select("key", "e.*"), "paths")
+        entries = rows.select("key", _opened(F.array("e"), levels or LEVELS_AT_ONCE).alias("_entries"))
+        flat = entries.select("key", F.explode("_entries").alias("e")).select("key", "e.*")
+        # What is done goes to the folder as text and kind, not as a document to be read again.
+        done = F.lit(True) if levels else ~F.col("open")
+        leaf = done & F.col("node").isNotNull()
+        named = flat.select(
+            "key", "path", F.when(~done, F.col("node")).alias("node"), (~done).alias("open"), F.col("node").isNull().alias("is_container"),
+            F.when(leaf, kind(F.col("node"))).alias("_type"), F.when(leaf, F.coalesce(to_text(F.col("node")), F.lit("null"))).alias("text"),
+        )
+        parked = staged(named, "paths")
+        found.append(parked.where(~F.col("open")).drop("node", "open"))
         if levels:
-            found.append(flat)
             break
-        found.append(flat.where(~F.col("open")))
-        deeper = flat.where("open")
+        deeper = parked.where("open")
         if deeper.isEmpty():
             break
         rows = deeper.select("key", F.struct("path", "node", "open").alias("e"))
-    rows = reduce(DataFrame.union, found).select("key", F.struct("path", "node", "open").alias("e"))
-    is_container = F.col("e.node").isNull()
-    return rows.where(F.col("e.path") != "").select(
-        "key",
-        F.col("e.path").alias("path"),
-        F.when(~is_container, _kind_label(F.col("e.node"))).alias("kind"),
-        is_container.alias("is_container"),
-        F.when(~is_container, F.coalesce(to_text(F.col("e.node")), F.lit("null"))).alias("text"),
+    return reduce(DataFrame.union, found).where(F.col("path") != "").select(
+        "key", "path", F.when(~F.col("is_container"), _kind_label(F.col("_type"))).alias("kind"), "is_container", "text"
     )
 
 
+def _opened(entries: Column, levels: int) -> Column:
+    """Entries with the objects among them opened so many times; what has none left is passed on as it is."""
+
+    def step(found: Column, _: Column) -> Column:
+        return F.when(F.exists(found, lambda e: e["open"]), F.flatten(F.transform(found, _expand))).otherwise(found)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), entries, step)
+
+
 def _expand(e: Column) -> Column:
     entries = F.map_entries(F.try_variant_get(e["node"], "$", "map<string,variant>"))
     prefix = F.when(e["path"] == "", F.lit("")).otherwise(F.concat(e["path"], F.lit(".")))
@@ -67,7 +73,7 @@ def _expand(e: Column) -> Column:
         lambda c: F.struct(
             F.concat(prefix, c["key"]).alias("path"),
             F.coalesce(c["value"], null).alias("node"),
-            kind(c["value"]).startswith("OBJECT").alias("open"),
+            is_object(c["value"]).alias("open"),
         ),
     )
     closed = F.struct(
@@ -77,8 +83,7 @@ def _expand(e: Column) -> Column:
     return F.when(e["open"], F.concat(F.array(closed), children)).otherwise(F.array(itself))
 
 
-def _kind_label(node: Column) -> Column:
-    k = kind(node)
+def _kind_label(k: Column) -> Column:
     return (
         F.when(k == "STRING", F.lit("string"))
         .when(k == "BIGINT", F.lit("integer"))
